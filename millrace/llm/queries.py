@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.mixing import sample_mix
+from millrace.llm.packing import fill_report, pack_all
 from millrace.llm.pieces import split_oversized
+from millrace.llm.tokens import sized
 from millrace.plans.session import read_table
 
 
@@ -31,7 +34,47 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_items(spark, folder), ["source_table", "item_id"], "item_text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return sized(read_table(spark, folder, "documents"), "text")
+
+
+def _capacities(spark: SparkSession, folder: str) -> dict[str, int]:
+    """A table of settings: one row per kind of container."""
+    return {r["container_type"]: r["capacity_tokens"] for r in read_table(spark, folder, "container_specs").collect()}
+
+
+def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a container of each kind."""
+    return pack_all(_sizes(spark, folder), "doc_id", "n_tokens", _capacities(spark, folder))
+
+
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p5_containers(spark, folder), _capacities(spark, folder))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return sample_mix(_sizes(spark, folder), "doc_id", "source", "n_tokens", read_table(spark, folder, "mix_targets"))
+
+
+def p6_mixes(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix with their repeats."""
+    return _mix(spark, folder)[0]
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares per mix and source."""
+    return _mix(spark, folder)[1]
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p5_containers": p5_containers,
+    "p5_fill": p5_fill,
+    "p6_mixes": p6_mixes,
+    "p6_shares": p6_shares,
+}
 
 SQL = {
     "p2_found": r"""
