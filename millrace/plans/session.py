@@ -1,8 +1,10 @@
-"""What the library needs from the session: a shared folder for cut lineage."""
+"""What the library needs from the session: a shared folder for cut lineage, its code on the workers."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once per application.
+
+    The archive is built beside the driver and served by Spark; where workers can import the package
+    already, theirs is found first and this changes nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._millrace_shipped = True
