@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.session import cut
+from millrace.plans.session import cut, ship
 
 #: Kinds of boundary, the more natural the higher.
 FORCED, WORD, SENTENCE, LINE, PARAGRAPH, END = 1, 2, 3, 4, 5, 6
@@ -136,6 +136,7 @@ def piece_spans(items: DataFrame, text: str, *, limit: int, overlap: int) -> Dat
             both = [boundaries(t, limit, overlap) for t in batch["text"]]
             yield pd.DataFrame({"item": batch["item"], "size": [len(t) for t in batch["text"]], "at": [b[0] for b in both], "kinds": [b[1] for b in both]})
 
+    ship(items.sparkSession)
     over = items.select("item", F.col(text).alias("text")).filter(F.length("text") > limit)
     nodes = cut(
         over.mapInPandas(found, "item string, size int, at array<int>, kinds array<int>")

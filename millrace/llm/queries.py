@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.mixing import sample_mix
 from millrace.llm.packing import fill_report, pack_all
 from millrace.llm.pieces import split_oversized
+from millrace.llm.sentences import split_sentences
 from millrace.llm.tokens import sized
 from millrace.plans.session import read_table
 
@@ -34,6 +35,17 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_items(spark, folder), ["source_table", "item_id"], "item_text")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of every document, as positions."""
+    units = split_sentences(read_table(spark, folder, "fixture_documents"), "document_id", "document_text")
+    return units.select("document_id", "start_pos", "end_pos").distinct()
+
+
+def p4_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of every row, with their text."""
+    return split_sentences(read_table(spark, folder, "fixture_documents"), "document_id", "document_text")
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sized(read_table(spark, folder, "documents"), "text")
 
@@ -70,6 +82,8 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_sentences": p4_sentences,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
     "p6_mixes": p6_mixes,

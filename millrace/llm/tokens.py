@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.session import ship
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 # Fixed value: the published pre-tokenization pattern of byte-level BPE.
@@ -38,4 +40,5 @@ def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
 
 def sized(df: DataFrame, text: str, out: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
     """Rows with a non-blank ``text`` and its size; a text of white space alone is blank."""
+    ship(df.sparkSession)
     return df.filter(F.col(text).rlike(r"[^\p{IsWhite_Space}]")).withColumn(out, token_count(text, path))
