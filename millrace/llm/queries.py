@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.mixing import sample_mix
 from millrace.llm.packing import fill_report, pack_all
 from millrace.llm.pieces import split_oversized
+from millrace.llm.quality import text_quality
 from millrace.llm.sentences import split_sentences
 from millrace.llm.tokens import sized
 from millrace.plans.session import read_table
@@ -79,6 +80,16 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p7_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of every document."""
+    return text_quality(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents more than half of which is not natural prose, with the kind of that part."""
+    return p7_statistics(spark, folder).filter(F.col("text_kind") != "prose").select("doc_id", "text_kind").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -88,6 +99,8 @@ QUERIES = {
     "p5_fill": p5_fill,
     "p6_mixes": p6_mixes,
     "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_statistics": p7_statistics,
 }
 
 SQL = {
