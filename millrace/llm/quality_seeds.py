@@ -36,18 +36,42 @@ class Maker:
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
 
+    def word_of(self, lang: str) -> str:
+        """A word, or in a script without blanks a few letters, of the training sentences."""
+        while True:
+            text = self.r.choice(SEEDS[lang])
+            if lang in ("zh", "ja", "th"):
+                at = self.r.randrange(max(1, len(text) - 5))
+                word = "".join(c for c in text[at : at + self.r.randint(2, 5)] if c.isalpha() or 0x0E30 < ord(c) < 0x0E4F)
+            else:
+                word = self.r.choice(text.split(" ")).strip(".,;:!?\"'“”«»()„‘’–—¿¡।։።۔؟॥…`")
+            if len(word) >= 2 and "{" not in word and "}" not in word:
+                return word
+
+    def phrase(self, lang: str) -> str:
+        if self.r.random() < 0.4:
+            return self.r.choice(PHRASES[lang])
+        glue = "" if lang in ("zh", "ja", "th") else " "
+        one = glue.join(self.word_of(lang) for _ in range(self.r.choice([1, 2, 2, 3])))
+        return one.capitalize() if self.r.random() < 0.3 else one
+
     def ident(self) -> str:
-        return self.r.choice(["raw", "old", "tmp", "x", "fact", "base"]) + "_" + self.r.choice(["maps", "boats", "trees", "lamps", "birds"]) + self.r.choice(["", "_v2", "_daily", "_all"])
+        return self.r.choice(["raw", "old", "tmp", "x", "fact", "base"]) + "_" + self.noun() + self.r.choice(["", "_v2", "_daily", "_all"])
+
+    def noun(self) -> str:
+        """A name as code has them."""
+        word = self.word_of("en").lower()
+        return word if word.isalpha() else self.r.choice(["maps", "boats", "trees", "lamps", "birds"])
 
     def item(self, lang: str) -> str:
         x = self.r.random()
         if x < 0.15:
             return self.ident()
-        one = self.r.choice(PHRASES[lang])
+        one = self.phrase(lang)
         if x < 0.27:
-            one += (" and " if lang == "en" else " / ") + self.r.choice(PHRASES[lang])
+            one += (" and " if lang == "en" else " / ") + self.phrase(lang)
         elif x < 0.35:
-            one += ": " + self.r.choice(PHRASES[lang])
+            one += ": " + self.phrase(lang)
         elif x < 0.43:
             one += f" ({self.r.randint(2, 900)})"
         return one
@@ -62,21 +86,23 @@ class Maker:
             return ""
         if x < 0.6:
             return "n/a"
-        return self.ident() if x < 0.75 else self.r.choice(PHRASES[lang])
+        return self.ident() if x < 0.75 else self.phrase(lang)
 
     def sentence(self, lang: str) -> str:
         s = self.r.choice(SEEDS[lang])
+        if lang not in ("zh", "ja", "th"):
+            s = " ".join(self.word_of(lang) if w.isalpha() and w.islower() and len(w) > 4 and self.r.random() < 0.3 else w for w in s.split(" "))
         while "{" in s:
             a, b = s.index("{"), s.index("}")
             slot = s[a + 1 : b]
-            value = {"N": self.r.choice(NAMES), "i": self.r.choice("ABCDEFG"), "f": self.r.choice(FILES), "F": self.ident(), "x": f"{self.r.uniform(0, 40):.1f}"}.get(slot, str(self.r.randint(1, 300)))
+            value = {"N": self.r.choice(NAMES), "i": self.r.choice("ABCDEFG"), "f": self.r.choice(FILES), "F": self.ident(), "x": f"{self.r.uniform(0, 40):.1f}".replace(".", "," if lang in ("de", "fr", "es", "pt", "el") else ".")}.get(slot, str(self.r.randint(1, 300)))
             s = s[:a] + value + s[b + 1 :]
         return s
 
     def prose(self, lang: str) -> str:
         glue = "" if lang in ("zh", "ja") else " "
-        some = [self.sentence(lang) for _ in range(self.r.randint(1, 9))]
-        form = self.r.randint(0, 9)
+        some = [self.sentence(lang) for _ in range(self.r.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30, 120]))]
+        form = self.r.choice([0, 1, 2, 3, 4, 5, 6, 7, 6, 7, 8, 9])
         if form <= 3:
             return glue.join(some)
         if form == 4:
@@ -85,9 +111,10 @@ class Maker:
             return "\n".join(f"[{k // 60:02d}:{k % 60:02d}] {self.r.choice(['A', 'Q', 'rep'])}: {self.sentence(lang)}" for k in range(0, 7 * len(some), 7))
         if form in (6, 7):
             tail = ["", "", "", " 🙏", " :)", "!!", " 😅"]
-            lines = [self.sentence(lang).lower() for _ in range(len(some) + 1)]
-            return "\n".join((s.rstrip(".。।۔։።") if self.r.random() < 0.7 else s) + self.r.choice(tail) for s in lines)
-        text, out, at = glue.join(some), [], 0
+            lines = [self.sentence(lang).lower() for _ in range(self.r.randint(2, 16))]
+            rate, marks = self.r.choice([0.6, 0.8, 0.95, 1.0]), self.r.choice([".。।۔։።", ".。।۔։።!?！？؟"])
+            return "\n".join((s.rstrip(marks) if self.r.random() < rate else s) + (self.r.choice(tail) if self.r.random() < 0.4 else "") for s in lines)
+        text, out = glue.join(some), []
         if form == 8:
             words = text.split(" ")
             for w in words:
@@ -96,11 +123,10 @@ class Maker:
                 else:
                     out.append(w)
             return "\n".join(out)
-        del at
-        return self.r.choice([text.upper(), f"# {self.item(lang)}\n{text}", "Hello,\n" + text + "\nThanks,\n" + self.r.choice(NAMES), "\n".join(some), " ".join(s.lower().rstrip(".。।") for s in some)])
+        return self.r.choice([text.upper(), f"# {self.item(lang)}\n{text}", f"{'#' * self.r.randint(1, 3)} {self.item(lang)}", f"# {self.item(lang)}", f"{self.r.choice(['Best', 'Regards', 'Thanks'])},\n{self.r.choice(NAMES)}", "Hello,\n" + text + "\nThanks,\n" + self.r.choice(NAMES), "\n".join(some), " ".join(s.lower().rstrip(".。।") for s in some)])
 
     def list_(self, lang: str) -> str:
-        n, form = self.r.randint(3, 24), self.r.randint(0, 11)
+        n, form = self.r.randint(2, 24), self.r.choice([*range(12), 6, 6, 5])
         items = [self.item(lang) for _ in range(n)]
         if form in (0, 1):
             mark = self.r.choice(["- ", "* ", "• ", "・", "– ", "+ "])
@@ -115,7 +141,7 @@ class Maker:
         if form == 5:
             return "\n".join(items)
         if form == 6:
-            return self.r.choice(["; ", ", "]).join(self.item(lang) for _ in range(n + 4))
+            return self.r.choice(["; ", ", ", ", "]).join(self.item(lang) for _ in range(self.r.randint(5, 60)))
         if form == 7:
             return "\n".join(f"{k // 4 + 1}.{k % 4 + 1} {i} {'.' * self.r.randint(4, 30)} {3 * k + 2}" for k, i in enumerate(items))
         if form == 8:
@@ -123,13 +149,13 @@ class Maker:
         if form == 9:
             return "\n".join(f"https://{self.r.choice(['docs', 'kb'])}.{self.r.choice(NAMES).lower()}.example/{self.r.choice(['a', 'boats'])}/{self.r.randint(1, 900)}{self.r.choice(['', '.html', '?q=a&d=7'])}" for _ in items)
         if form == 10:
-            return self.r.choice([", ", "; ", " / "]).join(self.ident() if self.r.random() < 0.4 else self.item(lang) for _ in range(n + 4))
+            return self.r.choice([", ", "; "]).join(self.item(lang) for _ in range(self.r.randint(6, 16)))
         mark = self.r.choice(["- ", "* ", "1. "])
         return "\n".join(mark + self.sentence(lang) for _ in range(min(n, 8)))
 
     def table(self, lang: str) -> str:
         cols, n, form = self.r.randint(3, 7), self.r.randint(2, 16), self.r.randint(0, 6)
-        head = [self.r.choice(PHRASES[lang]) for _ in range(cols)]
+        head = [self.phrase(lang) for _ in range(cols)]
         rows = [head] + [[self.cell(lang) for _ in head] for _ in range(n)]
         if form == 0:
             rule = ["|" + "---|" * cols]
@@ -141,32 +167,34 @@ class Maker:
         if form == 2:
             return "\n".join("\t".join(r) for r in rows)
         if form == 3:
-            return "\n".join(",".join(f'"{c}"' if self.r.random() < 0.4 else c for c in r) for r in rows)
+            quoted, mark = self.r.choice([0, 0.4]), self.r.choice(",;")
+            return "\n".join(mark.join(f'"{c}"' if self.r.random() < quoted else c for c in r) for r in rows)
         if form == 4:
             return "\n".join("".join(c[:20].ljust(22) for c in r).rstrip() for r in rows)
         if form == 5:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
-        names = [self.r.choice(PHRASES[lang]) for _ in range(self.r.randint(2, 4))]
-        return "\n".join(f"{k} = {self.cell(lang)}" for _ in range(self.r.randint(1, 5)) for k in names)
+        names = [self.phrase(lang) for _ in range(self.r.randint(2, 4))]
+        return "\n".join(f"{k} = {self.cell(lang)}" for _ in range(self.r.randint(1, 6)) for k in names)
 
     def word(self) -> str:
         return "".join(self.r.choice("qwertzuiopasdfghjklxcvbnm") for _ in range(self.r.randint(1, 12)))
 
     def junk(self, lang: str) -> str:
-        n, form = self.r.randint(3, 20), self.r.randint(0, 14)
+        n, form = self.r.randint(3, 20), self.r.choice([*range(16), 14, 14, 3])
         if form == 0:
             raw = base64.b64encode(self.r.randbytes(40 * n)).decode()
             return "\n".join(raw[k : k + 76] for k in range(0, len(raw), 76)) if self.r.random() < 0.7 else raw
         if form == 1:
             return "\n".join(f"{16 * k:08x}  " + " ".join(f"{self.r.randrange(256):02x}" for _ in range(16)) for k in range(n))
         if form == 2:
-            return "".join(f'<div class="a-{self.r.randint(1, 99)}"><span id="{self.ident()}"></span></div>' for _ in range(n))
+            return "".join(f'<div class="{self.noun()}-{self.r.randint(1, 99)}"><span id="{self.ident()}"></span></div>' for _ in range(n))
         if form == 3:
-            return "[" + ",".join("{" + f'"{self.r.choice(["maps", "boats", "trees"])}":"{self.r.randint(1, 900)}","{self.r.choice(["v2", "all", "raw"])}":"{self.r.uniform(0, 40):.1f}","id":"{self.ident()}"' + "}" for _ in range(n)) + "]"
+            between = self.r.choice([",", ",", ",\n", "\n"])
+            return "[" + between.join("{" + f'"{self.noun()}":"{self.r.randint(1, 900)}","{self.r.choice(["v2", "all", "raw"])}":"{self.r.uniform(0, 40):.1f}","id":"{self.ident()}"' + "}" for _ in range(n)) + "]"
         if form == 4:
-            return f"with base as (select {self.ident()}.id, count(*) as n from core.boats\n" + "\n".join(f"  left join raw.maps t{k} on t{k}.maps_id = base.id and t{k}.day >= {self.r.randint(1, 90)}" for k in range(n)) + "\n  group by 1)\nselect * from base"
+            return f"with base as (select {self.ident()}.id, count(*) as n_{self.noun()} from core.{self.noun()}\n" + "\n".join(f"  left join {self.r.choice(['raw', 'core', 'old'])}.{self.noun()} t{k} on t{k}.{self.noun()}_id = base.id and t{k}.day >= {self.r.randint(1, 900)}" for k in range(self.r.randint(1, 60))) + "\n  group by 1)\nselect * from base"
         if form == 5:
-            return "Traceback:\n" + "\n".join(f'  File "/opt/app/{self.ident()}.sql", line {self.r.randint(1, 900)}, in {self.ident()}\n    boats[{self.r.randint(1, 900)}] = {self.ident()}({self.r.randint(1, 900)})' for _ in range(n))
+            return "Traceback:\n" + "\n".join(f'  File "/opt/app/{self.ident()}.sql", line {self.r.randint(1, 900)}, in {self.ident()}\n    {self.noun()}[{self.r.randint(1, 900)}] = {self.ident()}({self.r.randint(1, 900)})' for _ in range(n))
         if form == 6:
             return "\n".join(f"2024-{self.r.randint(1, 12):02d}-{self.r.randint(1, 28):02d}T{self.r.randint(0, 23)}:{self.r.randint(10, 59)}:07Z {self.r.choice(['DEBUG', 'INFO', 'WARN', 'ERROR'])} [{self.ident()}] rc={self.r.randint(0, 900)} t={self.r.uniform(0, 40):.1f}ms req={self.r.randbytes(5).hex()}" for _ in range(n))
         if form == 7:
@@ -178,16 +206,18 @@ class Maker:
         if form == 10:
             return "\n".join(self.r.choice("~*$&_%=-@#") * self.r.randint(14, 50) for _ in range(n))
         if form == 11:
-            return self.r.choice([" · ", " | ", " > "]).join(self.r.choice(MENU) for _ in range(6 * n))
+            return self.r.choice([" · ", " | ", "\n"]).join(self.r.choice(MENU) for _ in range(self.r.randint(8, 90)))
         text = " ".join(self.sentence(lang) for _ in range(n))
         if form == 12:
-            other = " ".join(self.sentence(self.r.choice(["zh", "hi", "ar", "ja", "ru" if False else "hy", "am", "fr"])) for _ in range(n))
+            other = " ".join(self.sentence(self.r.choice(["zh", "hi", "ar", "ja", "hy", "am", "fr"])) for _ in range(n))
             return other.encode().decode("latin-1").replace("\x85", " ")
         if form == 13:
             rate = self.r.uniform(0.2, 0.45)
             return "".join(self.r.choice("¦§¤�#~^|") if c != "\n" and self.r.random() < rate else c for c in text)
+        if form == 15:
+            return f"```\nselect * from {self.ident()}\nwhere day > {self.r.randint(1, 9)}\n```"
         one = self.sentence(lang)
-        return self.r.choice(["", " ", "\n"]).join(one.rstrip(".") + self.r.choice(["", one[:0]]) if self.r.random() < 0.5 else one + f" ({self.r.randint(1, 200)})" for _ in range(2 * n)) if self.r.random() < 0.5 else self.r.choice([" ", "\n"]).join([one + (f" ({k})" if k % 3 else "") for k in range(2 * n)])
+        return self.r.choice(["", " ", "\n"]).join(one.rstrip(".") if self.r.random() < 0.5 else one + f" ({self.r.randint(1, 200)})" for _ in range(2 * n)) if self.r.random() < 0.5 else self.r.choice([" ", "\n"]).join([one + (f" ({k})" if k % 3 else "") for k in range(2 * n)])
 
 
 def labelled(count: int, seed: int) -> list[tuple[str, str]]:
@@ -197,6 +227,6 @@ def labelled(count: int, seed: int) -> list[tuple[str, str]]:
     out = []
     for k in range(count):
         label, f = kinds[k % len(kinds)]
-        lang = "en" if make.r.random() < 0.35 else make.r.choice(LANGS)
+        lang = "en" if make.r.random() < 0.25 else make.r.choice(LANGS)
         out.append((label, f(lang)))
     return out
