@@ -34,7 +34,10 @@ COMMON_WORDS = (
     "및 왜 그러나 아무도 아직 두 많은"
 )
 COMMON_STRINGS = "的|了|是|在|和|没有|什么|请|从|把|但是|如果|の|を|は|に|が|で|と|も|た。|ました|ている|ที่|และ|แล้ว|จึง|ทำไม|ไม่|กรุณา|จาก|เป็น|โดย"
-_WORDS = "|".join(dict.fromkeys(COMMON_WORDS.split()))
+_WORDS = list(dict.fromkeys(COMMON_WORDS.split()))
+#: Letters of scripts that write no blanks between words.
+_UNSPACED = r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]"
+_WORD = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_-]*"
 _END = r"[.!?…。！？｡।॥؟۔։።;][\"'”’»›“」』）)\]]*"
 
 #: name -> (what it counts, pattern); each becomes a number per line, per word or per character below.
@@ -60,12 +63,9 @@ _COUNTS = {
     "pairs": r"(?<!\S)[0-9a-f]{2}(?!\S)",
     "ends": _END + r"(?=\s|$|[぀-ヿ㐀-鿿])",
     "tokens": r"\S+",
-    "words": r"[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_-]*",
-    "common": r"(?iu)(?<![\p{L}\p{M}_])(?:" + _WORDS + r")(?![\p{L}\p{M}_])",
-    "common_strings": COMMON_STRINGS,
     "clusters": r"(?i)[bcdfghjklmnpqrstvwxz]{4,}|(?<![\p{L}\p{M}'’.])[b-df-hj-np-tv-xz](?![\p{L}\p{M}.'’:>)])",
     "mojibake": r"[ÃÂàáâãäåæçèéêëÐÑØÙÚÛÔÕÖ][\u0080-¿]",
-    "code": r"(?i)\b(?:select|from|left join|where|group by|def|return|import|line \d+, in)\b|[;{}]$|\w\(\w*\)|\w\[\d+\]",
+    "code": r"\b(?i:select|from|left join|where|group by|def|return|import|line \d+, in)\b|[;{}]$|[a-z]\(\w*\)|[a-z]\[\d+\]",
     "stamps": r"(?m)^\d{4}-\d\d-\d\d[T ]",
     "idents": r"\b[a-z]+(?:_[a-z0-9]+)+",
     "menus": r" [·|>»] ",
@@ -88,18 +88,33 @@ FEATURES = (
 
 
 def _raw(block: Column) -> Column:
+    """Everything that is counted in a block. Arrays that serve several counts are made once, in a struct."""
+    low = F.lower(block)
+    arrays = F.struct(
+        block.alias("t"),
+        F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"),
+        F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]{1,4}"), F.lit(0)).alias("runs"),
+        F.filter(F.split(F.regexp_replace(block, r"[\p{N}()]+", ""), r"[\n.!?。！？।۔։]+\s*"), lambda w: F.length(w) > 3).alias("parts"),
+    )
+    return F.transform(F.array(arrays), _counts)[0]
+
+
+def _counts(a: Column) -> Column:
+    block = a.t
     chars = [(F.length(block) - F.length(F.regexp_replace(block, p, ""))).alias(k) for k, p in _CHARS.items()]
-    words = F.regexp_extract_all(F.lower(block), F.lit(r"[\p{L}\p{M}]{1,4}"), F.lit(0))
-    parts = F.filter(F.split(F.regexp_replace(block, r"[\p{N}()]+", ""), r"[\n.!?。！？।۔։።]+\s*"), lambda w: F.length(w) > 3)
+    strings = F.when(block.rlike(_UNSPACED), F.regexp_count(block, F.lit(COMMON_STRINGS))).otherwise(0)
     return F.struct(
         F.length(block).alias("n"),
         (F.regexp_count(block, F.lit("\n")) + 1).alias("lines"),
         *[F.regexp_count(block, F.lit(p)).alias(k) for k, p in _COUNTS.items()],
+        F.size(a.words).alias("words"),
+        F.size(F.filter(a.words, lambda w: w.isin(_WORDS))).alias("common"),
+        strings.alias("common_strings"),
         *chars,
-        F.size(words).alias("w_all"),
-        F.size(F.array_distinct(words)).alias("w_distinct"),
-        F.size(parts).alias("p_all"),
-        F.size(F.array_distinct(parts)).alias("p_distinct"),
+        F.size(a.runs).alias("w_all"),
+        F.size(F.array_distinct(a.runs)).alias("w_distinct"),
+        F.size(a.parts).alias("p_all"),
+        F.size(F.array_distinct(a.parts)).alias("p_distinct"),
     )
 
 
@@ -262,7 +277,8 @@ def text_quality(docs: DataFrame, doc: str, text: str, rules: list[Rule] | None
     """
     rules = rule_list(docs.sparkSession) if rules is None else rules
     judged = F.transform(F.transform(F.transform(blocks(F.coalesce("__t", F.lit(""))), _raw), lambda c: F.struct(_figures(c).alias("f"), c.alias("c"))), lambda s: F.struct(kind_of(rules, s.f).alias("kind"), s.c.alias("c")))
-    rows = docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")).select("__d", judged.alias("b"))
+    # The one-element explode keeps filters on the result from being pushed below, where they would judge every block again.
+    rows = docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")).select("__d", F.explode(F.array(judged)).alias("b"))
 
     def total(name: str, kind: str | None = None) -> Column:
         some = F.col("b") if kind is None else F.filter("b", lambda s: s.kind == kind)
