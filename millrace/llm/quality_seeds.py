@@ -221,12 +221,12 @@ class Maker:
 
 
 def labelled(count: int, seed: int) -> list[tuple[str, str]]:
-    """(label, block): ``count`` blocks, about two fifths of them prose."""
+    """(label, block): ``count`` blocks, half of them prose."""
     make = Maker(seed)
-    kinds = [("prose", make.prose), ("prose", make.prose), ("list", make.list_), ("table", make.table), ("junk", make.junk)]
+    kinds = [("prose", make.prose), ("prose", make.prose), ("prose", make.prose), ("list", make.list_), ("table", make.table), ("junk", make.junk)]
     out = []
     for k in range(count):
         label, f = kinds[k % len(kinds)]
-        lang = "en" if make.r.random() < 0.25 else make.r.choice(LANGS)
+        lang = "th" if make.r.random() < 0.05 else "en" if make.r.random() < 0.25 else make.r.choice(LANGS)
         out.append((label, f(lang)))
     return out
