@@ -10,6 +10,8 @@ from typing import Any, Protocol
 
 import numpy as np
 
+from millrace.functions.prompts import json_kind
+
 
 class AiProvider(Protocol):
     """Runs on executors: must be picklable, and deterministic enough to be retried."""
@@ -51,12 +53,13 @@ class LocalProvider:
         words = set(re.findall(r"\w+", last.lower()))
         out: dict[str, Any] = {}
         for name, spec in json.loads(schema).get("properties", {}).items():
+            kind = json_kind(spec)
             if spec.get("enum"):
                 out[name] = max(spec["enum"], key=lambda v: (len(words & set(re.findall(r"[a-z]+", str(v).lower()))), -spec["enum"].index(v)))
-            elif spec.get("type") in ("integer", "number"):
+            elif kind in ("integer", "number"):
                 found = re.search(r"\d+", last)
                 out[name] = int(found.group(0)) if found else 0
-            elif spec.get("type") == "boolean":
+            elif kind == "boolean":
                 out[name] = "?" in last
             else:
                 out[name] = last[:60]

@@ -92,14 +92,15 @@ def schema_label_field(schema: str) -> str:
     raise ValueError("the schema has no enum to take a label from")
 
 
-def _kind(value: dict) -> str:
+def json_kind(value: dict) -> str:
+    """The type of a schema property; of several the first that is not null."""
     kind = value.get("type", "string")
     return next((k for k in kind if k != "null"), "string") if isinstance(kind, list) else kind
 
 
 def schema_struct(schema: str) -> T.StructType:
     """The struct of a JSON schema's properties; unknown types are strings."""
-    fields = [T.StructField(k, _TYPES.get(_kind(v), T.StringType())) for k, v in _properties(schema).items()]
+    fields = [T.StructField(k, _TYPES.get(json_kind(v), T.StringType())) for k, v in _properties(schema).items()]
     if not fields:
         raise ValueError("schema_struct: the schema has no properties")
     return T.StructType(fields)
@@ -115,7 +116,7 @@ def shape_instruction(schema: str | None, mode: str) -> str:
     """Words for providers without structured output: a bare label, or one JSON object with the schema's keys."""
     if mode == "label":
         return "\n\nAnswer with one of the allowed values and nothing else."
-    keys = ", ".join(f"{k} ({_kind(v)})" for k, v in (_properties(schema) if schema else {}).items())
+    keys = ", ".join(f"{k} ({json_kind(v)})" for k, v in (_properties(schema) if schema else {}).items())
     return f"\n\nAnswer with one JSON object on one line, holding these keys only: {keys}." if keys else ""
 
 
