@@ -27,13 +27,6 @@ def texts(spark):
     return spark.createDataFrame([("1", "a bug, 42 times?"), ("2", "much praise"), ("3", None), ("4", "")], "id string, body string")
 
 
-class Plain(LocalProvider):
-    structured = False
-
-    def complete_batch(self, prompts, model, *, schema, options):
-        return [p.splitlines()[0] if "allowed values" not in p else " bug " for p in prompts]
-
-
 def test_model_calls(spark):
     ai = AiFunctions(ON)
     out = texts(spark).select("id", ai.classify("body", PROMPT, SCHEMA).alias("k"), ai.extract("body", PROMPT, SCHEMA).alias("x"), ai.embed("body").alias("e"), ai.generate("body", PROMPT).alias("g"))
@@ -41,6 +34,13 @@ def test_model_calls(spark):
     assert (rows["1"].k, rows["2"].k, rows["3"].k) == ("bug", "praise", None)
     assert (rows["1"].n, rows["1"].odd, rows["2"].odd) == (42, True, False)
     assert len(rows["1"].e) == 64 and rows["3"].e is None and rows["2"].g == "much praise"
+
+    class Plain(LocalProvider):  # local, so that it is pickled by value
+        structured = False
+
+        def complete_batch(self, prompts, model, *, schema, options):
+            return [p.splitlines()[0] if "allowed values" not in p else " bug " for p in prompts]
+
     register_provider("plain", Plain())
     assert texts(spark).limit(1).select(AiFunctions(ON, provider="plain").classify("body", PROMPT, SCHEMA)).first()[0] == "bug"
     groups = spark.createDataFrame([("g", 2, "second"), ("g", 1, "first"), (None, 1, "alone")], "g string, o int, t string")
