@@ -25,8 +25,9 @@ _CLOSERS = r"[\"'”’»›」』）)\]}】》〉]*"
 # An end mark of a script that writes no blank after it, or a common one before a blank or such a script.
 _STRONG = re.compile(
     r"(?P<par>\r?\n[^\S\n]*\r?\n\s*)|(?P<line>\r?\n\s*)"
-    rf"|(?P<end>(?:[。！？｡．।॥։؟۔።፧…]+{_CLOSERS}\s*|[.!?]+{_CLOSERS}(?:\s+|(?=[぀-ヿ㐀-鿿가-힯]))))"
+    rf"|(?P<end>(?:[。！？｡．।॥։؟۔።፧…]+{_CLOSERS}|[.!?]+{_CLOSERS}(?=[^\S\n]|[぀-ヿ㐀-鿿가-힯]))[^\S\n]*+(?!\r?\n))"
 )
+_MARKS = "。！？｡．।॥։؟۔።፧….!?"
 _WORD = re.compile(r"\s+")
 
 
@@ -54,12 +55,21 @@ def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[int
     for here in sorted(kinds):
         if here - before > step:
             blank = _WORD.search(text, before, here)
-            solid = blank.start() if blank else here
-            while solid > before and text[solid - 1] in "。！？｡．।॥։؟۔።፧….!?":
+            edge = blank.start() if blank else here
+            solid = edge
+            while solid > before and text[solid - 1] in _MARKS:
                 solid -= 1
-            if solid - before > limit:
-                grid.update({p: FORCED for p in range(before + step, solid, step)})
-            grid.update({p: WORD for p in range(max(solid, before) + step, here, step)})
+            forced, points = solid - before > limit, []
+            if forced:
+                points += range(before + step, edge, step)
+            elif edge - before > limit:
+                points.append(solid if solid > before else before + step)
+            # From a point inside the gap the next is no farther than a step, so that a walk never sticks.
+            if here - (points[-1] if points else before) > (step if points else limit) and (points[-1] if points else before) < edge < here:
+                points.append(edge)
+            while here - (points[-1] if points else before) > (step if points else limit):
+                points.append((points[-1] if points else before) + step)
+            grid.update({p: FORCED if forced and p < solid else WORD for p in points})
         before = here
     for p, kind in grid.items():
         kinds.setdefault(p, kind)
@@ -97,13 +107,13 @@ def _successors(nodes: DataFrame, limit: int, overlap: int) -> DataFrame:
         .withColumn("s", _last(F.when(node & (F.col("kind") >= SENTENCE), F.col("at")), back))
         .withColumn("w", _last(F.when(node & (F.col("kind") >= WORD), F.col("at")), back))
         .filter(~node)
-        .select("item", "pos", "size", start.alias("start"))
+        .select("item", "pos", "size", start.alias("start"), ((F.col("kind") == FORCED) & (start < F.col("pos"))).alias("inside"))
     )
     # The farthest boundary of each kind within the limit, with the overlap (ask 1) and without (ask 2).
     asked = started.select(
-        "item", "pos", "size", "start", F.explode(F.array(F.struct(F.lit(1).alias("ask"), F.col("start").alias("s0")), F.struct(F.lit(2).alias("ask"), F.col("pos").alias("s0")))).alias("q")
-    ).select("item", (F.col("q.s0") + limit).alias("at"), "q.ask", "pos", none.cast("int").alias("kind"), "start", "size")
-    given = nodes.select("item", F.col("pos").alias("at"), F.lit(0).alias("ask"), "pos", "kind", none.cast("int").alias("start"), "size")
+        "item", "pos", "size", "start", "inside", F.explode(F.array(F.struct(F.lit(1).alias("ask"), F.col("start").alias("s0")), F.struct(F.lit(2).alias("ask"), F.col("pos").alias("s0")))).alias("q")
+    ).select("item", (F.col("q.s0") + limit).alias("at"), "q.ask", "pos", none.cast("int").alias("kind"), "start", "inside", "size")
+    given = nodes.select("item", F.col("pos").alias("at"), F.lit(0).alias("ask"), "pos", "kind", none.cast("int").alias("start"), none.cast("boolean").alias("inside"), "size")
     ahead = Window.partitionBy("item").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     far = asked.unionByName(given)
     for name, kind in (("f5", PARAGRAPH), ("f4", LINE), ("f3", SENTENCE), ("f2", WORD), ("f1", FORCED)):
@@ -113,16 +123,13 @@ def _successors(nodes: DataFrame, limit: int, overlap: int) -> DataFrame:
     natural = F.coalesce(F.when(F.col("size") - s0 <= limit, F.col("size")), *full, F.when(F.col("f2") > F.col("pos"), F.col("f2")))
     far = far.filter(F.col("ask") > 0).withColumn("n", natural)
     pick = lambda ask, c: F.max(F.when(F.col("ask") == ask, F.col(c)))
+    # Before a forced end only a forced cut shares text: a piece never holds the whole of the one before.
+    lapped = F.col("n1").isNotNull() | (F.col("n2").isNull() & F.col("inside"))
     return (
-        far.groupBy("item", "pos", "size", "start")
+        far.groupBy("item", "pos", "size", "start", "inside")
         .agg(pick(1, "n").alias("n1"), pick(2, "n").alias("n2"), pick(1, "f1").alias("f"), pick(2, "f1").alias("g"))
-        .select(
-            "item",
-            "pos",
-            "size",
-            F.when(F.col("n1").isNull() & F.col("n2").isNotNull(), F.col("pos")).otherwise(F.col("start")).alias("start"),
-            F.coalesce("n1", "n2", F.when(F.col("f") > F.col("pos"), F.col("f")), "g").alias("next"),
-        )
+        .select("item", "pos", "size", F.when(lapped, F.col("start")).otherwise(F.col("pos")).alias("start"), F.coalesce("n1", "n2", F.when(F.col("inside"), F.col("f")), "g").alias("next"))
+        .withColumn("next", F.when(F.col("next") > F.col("pos"), F.col("next")).otherwise(F.raise_error(F.lit("a piece without an end")).cast("int")))
     )
 
 
