@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.session import cut
+from millrace.plans.state import Pointer
 
 HEX = 16
 DIGEST = ("d1", "d2", "n")
@@ -135,23 +136,11 @@ class MerkleStore:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+        self._pointer = Pointer(spark, self.root)
 
     def read(self, part: str) -> DataFrame | None:
         """``output``, ``records`` or ``tree`` of the published version, None before the first."""
-        at = self._current()
+        at = self._pointer.get()
         return None if at is None else self.spark.read.parquet(f"{self.root}/{at}/{part}")
 
     def run(self, current: DataFrame, *, rows: int, leaf_rows: int = 64, process=lambda changed: changed) -> DataFrame:
@@ -179,17 +168,5 @@ class MerkleStore:
         output.write.parquet(f"{base}/output")
         with_leaf(merged, depth).write.parquet(f"{base}/records")
         build_tree(self.spark.read.parquet(f"{base}/records"), depth).write.parquet(f"{base}/tree")
-        self._point(version)
+        self._pointer.set(version)
         return self.spark.read.parquet(f"{base}/output")
-
-    def _point(self, version: str) -> None:
-        new, pointer = self._path(f"{self.root}/.CURRENT-{version}"), self._path(f"{self.root}/CURRENT")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        gateway = self.spark.sparkContext._gateway
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(new, pointer, options)

@@ -7,28 +7,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-class StateTable:
-    """``<root>/<name>/v-<id>/`` and the file ``CURRENT``. Readers see whole versions; one writer at a time."""
+class Pointer:
+    """The file ``CURRENT`` of a folder, replaced by one rename: readers see the old or the new name, never half."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str) -> None:
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._p(self.path).getFileSystem(self._conf)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self._conf, self._base = spark.sparkContext._jsc.hadoopConfiguration(), path.rstrip("/")
+        self.files = self.path("").getFileSystem(self._conf)
 
-    def _p(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
+    def path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self._base}/{name}" if name else self._base)
 
-    def version(self) -> str | None:
-        pointer = self._p(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
+    def get(self) -> str | None:
+        if not self.files.exists(self.path("CURRENT")):
             return None
-        stream = self._fs.open(pointer)
+        stream = self.files.open(self.path("CURRENT"))
         try:
             return bytes(stream.readAllBytes()).decode().strip()
         finally:
             stream.close()
 
+    def set(self, name: str) -> None:
+        new, pointer = self.path(f".CURRENT-{name}"), self.path("CURRENT")
+        stream = self.files.create(new, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self._conf).rename(new, pointer, options)
+
+
+class StateTable:
+    """``<root>/<name>/v-<id>/`` and its pointer. Readers see whole versions; one writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str) -> None:
+        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
+        self._pointer = Pointer(spark, self.path)
+
+    def version(self) -> str | None:
+        return self._pointer.get()
+
     def read(self) -> DataFrame | None:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.path}/{v}")
@@ -37,25 +56,18 @@ class StateTable:
         """Write a new version and point to it; the old one stays until ``drop_old``."""
         version = f"v-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
-        new, pointer = self._p(f"{self.path}/.CURRENT-{version}"), self._p(f"{self.path}/CURRENT")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self._conf).rename(new, pointer, options)
+        self._pointer.set(version)
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def drop_old(self) -> list[str]:
         """Remove versions that are not current; returns their names."""
         current, gone = self.version(), []
-        for status in self._fs.listStatus(self._p(self.path)):
+        for status in self._pointer.files.listStatus(self._pointer.path("")):
             name = status.getPath().getName()
             if name.startswith("v-") and name != current:
-                self._fs.delete(status.getPath(), True)
+                self._pointer.files.delete(status.getPath(), True)
                 gone.append(name)
         return gone
 
     def drop(self) -> None:
-        self._fs.delete(self._p(self.path), True)
+        self._pointer.files.delete(self._pointer.path(""), True)
