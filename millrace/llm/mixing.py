@@ -2,7 +2,7 @@
 
 Each document has an expected number of copies; its whole part is certain, its fractional part is sampled:
 documents are ranked by random odds over inclusion odds and the lowest ranks are taken, up to the tokens
-that the source still lacks. The cut is found on a histogram of ranks, so no source is ever sorted whole.
+that the source still lacks; one last document is chosen for its size. The cut is found on a histogram of ranks, so no source is ever sorted whole.
 """
 
 from __future__ import annotations
@@ -142,9 +142,13 @@ def sample_mix(
     edge = sampled.filter(F.col("__begun") & ~F.col("__in"))
     upto = Window.partitionBy(*group, "__b").orderBy("__q", "__doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("__sum", F.col("__before") + F.sum("__n").over(upto))
-    # The document in which they run out is taken if that comes nearer to the tokens wanted.
-    taken = edge.filter(F.col("__sum") - F.col("__room") <= F.least(F.col("__room") - (F.col("__sum") - F.col("__n")), F.col("__n").cast("double") / 2))
-    extra = sampled.filter("__in").select(*group, "__doc").unionByName(taken.select(*group, "__doc")).withColumn("__x", F.lit(1))
+    taken = edge.filter(F.col("__sum") <= F.col("__room"))
+    extra = cut(sampled.filter("__in").select(*group, "__doc", "__n").unionByName(taken.select(*group, "__doc", "__n")))
+    # One last document: of those left the one whose size comes nearest to the tokens still lacking.
+    lacking = sure.join(extra.groupBy(*group).agg(F.sum("__n").alias("__got")), group, "left").select(*group, (F.col("__room") - F.coalesce("__got", F.lit(0))).alias("__lack")).filter("__lack > 0")
+    left = drawn.filter("__b is not null").join(extra.select(*group, "__doc"), [*group, "__doc"], "left_anti").join(lacking, group).withColumn("__miss", F.abs(F.col("__n") - F.col("__lack")))
+    last = left.filter("__miss < __lack").groupBy(*group).agg(F.min(F.struct("__miss", "__q", "__doc", "__n")).alias("l")).select(*group, "l.__doc", "l.__n")
+    extra = extra.unionByName(last).select(*group, "__doc").withColumn("__x", F.lit(1))
     mixed = (
         drawn.join(extra, [*group, "__doc"], "left")
         .withColumn("copies", F.col("__whole") + F.coalesce("__x", F.lit(0)))
