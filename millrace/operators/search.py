@@ -118,7 +118,7 @@ class CellIndex:
             centers = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centers)
         return centers
 
-    def search(self, queries: DataFrame, embedding: str, id_column: str, *, top_k: int = 10, probes: int = 24, salts: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, embedding: str, id_column: str, *, top_k: int = 10, probes: int = 36, salts: int = 4) -> DataFrame:
         """(query_id, id, score, rank) from the probed cells; large cells are read in ``salts`` parts."""
         centroids = self.centroids
 
