@@ -85,6 +85,21 @@ SEEDS: dict[str, list[str]] = {
         "Nobody came, so we left.",
         "Where does the river end?",
         "Each box comes with {d} nails.",
+        "The baker found the key and returned it.",
+        "Nobody told us where to go.",
+        "The guests left before he did so.",
+        "A gardener drew it.",
+        "The letter goes to the BBC.",
+        "Look at docs.gardens.example or birds.org for a map.",
+        "The page maps.example has no index.html yet.",
+        "It runs on Node.js and reads README.md or Lamps.txt first.",
+        "Write to a.birds@maps.example about the lamps.",
+        "Open www.{N}.org/The/Map.Html or http://a.birds.co.uk/Old?b=c for a map.",
+        "The lines lamps.max_rows={d} and self.old_lamps are wrong.",
+        "The .NET and ASP.NET parts are old.",
+        "The U.K.-based team and the p.m.-only guests met the {i}.{i}.{i} team.",
+        "Is it Yahoo!7 that lost the page?",
+        "Mr.{N}, Dr.{N} and Prof.{N} met St.{N} at no.{d}.",
     ],
     "de": [
         "Der Garten war nach dem Regen still.",
@@ -109,6 +124,7 @@ SEEDS: dict[str, list[str]] = {
         "Die Zeit sank von {x} auf {x} Sekunden.",
         "Wir brauchen Salz, Mehl, Öl usw.",
         "Die Lampe brannte und niemand sah es.",
+        "Die Kinder brachten z.B. Äpfel mit, d.h. fast alle.",
     ],
     "fr": [
         "Le jardin était calme après la pluie.",

@@ -26,7 +26,7 @@ from millrace.plans.session import ship
 # Abbreviations by how they are used.
 TITLES = set("dr prof mr mrs ms st lt sgt capt gen col hr fr fa frl sr sra dra dna m mm mme mlle κ κα δρ डॉ श्री د أ".split())
 REFERENCES = set("no nos nr p pp pg pág págs vol vols fig figs sec ch art arts núm num n° abs s bd kap क्र env ca approx est rev cf vgl".split())
-MIDDLES = set("e.g i.e vs al z b.z d u.a p.ej p.ex ej ex bzw mio mrd ff ud uds ee π.χ δηλ δευτ λ.χ օր resp vgl incl h avg".split())
+MIDDLES = set("e.g i.e vs al z b.z z.b d d.h u.a p.ej p.ex ej ex bzw mio mrd ff ud uds ee π.χ δηλ δευτ λ.χ օր resp vgl incl h avg".split())
 ENDINGS = set("inc ltd co corp etc usw bros a.m p.m u.s u.k e.u ph.d".split())
 LABELLED = set("phase stage plan option type class grade part level ward group step team room version vitamin".split())
 STARTERS = set(
@@ -91,6 +91,11 @@ def _quotes(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _may_begin(ch: str) -> bool:
+    """Whether ``ch`` can stand first in a sentence: no comma, closing bracket or the like."""
+    return ch in _PAIRS or ch in "¿¡#@&*§†‡/\\_" or unicodedata.category(ch) in ("Pd", "Ps", "Pi") or unicodedata.category(ch)[0] in "LNS"
+
+
 def _sites(text: str) -> list[tuple[int, dict]]:
     """(position after the possible end, what is known there) for the characters that may end a sentence."""
     spans = sorted(_quotes(text))
@@ -121,21 +126,9 @@ def _sites(text: str) -> list[tuple[int, dict]]:
             continue
         nxt = text[end : end + 1]
         wide = any(ch in _WIDE_MARKS for ch in mark)
-        if not nxt.isspace() and not wide:
-            before = text[m.start() - 1 : m.start()]
-            if mark.startswith("."):
-                word = _WORD_BEFORE.search(text[max(0, m.start() - 40) : m.start()]).group(0)
-                after = re.match(r"[^\W\d_]+", text[end : end + 30])
-                ok = before and _script(before) in "lcM" and len(word) >= 3 and "/" not in word and "_" not in text[end : end + 1]
-                ok = ok and bool(after) and _script(nxt) in "UcJH" and (len(after[0]) > 1 or text[end + 1 : end + 2].isspace())
-                if nxt and nxt in _PAIRS and before and _script(before) in "lc":
-                    ok = True
-                if not ok:
-                    continue
-            elif not (nxt and (_script(nxt) in "UcJHT" or nxt in _PAIRS or nxt in "¿¡—")):
-                # Addresses and the like; commas and dashes after a quotation are read by the model.
-                if end == m.start() + len(mark):
-                    continue
+        if not nxt.isspace() and not wide and not _may_begin(nxt) and (mark[0] == "." or end == m.start() + len(mark)):
+            # Commas and dashes after a quotation are read by the model.
+            continue
         inside = next(((o, c) for o, c in reversed(spans) if o < end - 1 < c and c >= end), None)
         opened = closes.get(end - 1)
         out.append((end, {"blank": False, "mark": mark, "end": end, "m0": m.start(), "inside": inside, "opened": opened}))
@@ -195,6 +188,8 @@ def _features(text: str, pos: int, site: dict) -> list[str]:
         wc = "any"
     where = "in" if site["inside"] else "after" if site["opened"] is not None else "plain"
     f = [f"k={kind}", f"k={kind}|n={nc}|{where}", f"w={wc}|n={nc}", f"w={wc}", f"where={where}", f"{gap}|k={kind}", f"w={wc}|{gap}"]
+    if gap == "tight" and mark[0] in ".!?":
+        f += _tight_features(text, site, kind, wc, nc, rest, nword)
     if where == "in":
         f.append("in|bracket" if text[site["inside"][0]] in _BRACKETS else "in|quote")
     if where == "after":
@@ -217,6 +212,24 @@ def _features(text: str, pos: int, site: dict) -> list[str]:
     return f
 
 
+def _tight_features(text: str, site: dict, kind: str, wc: str, nc: str, rest: str, nword: str) -> list[str]:
+    """What tells a sentence end without a blank after it from a file, an address, a version or an abbreviation."""
+    run = re.search(r"\S*$", text[max(0, site["m0"] - 80) : site["m0"]]).group(0)
+    last = re.search(r"[^\W_]*$", run).group(0)
+    size = len(last) if len(last) < 3 else 3
+    left = _script(run[-1]) if run else "none"
+    # A single letter before another stop is part of an abbreviation, before a blank a word.
+    follow = rest[len(nword) : len(nword) + 1]
+    then = "dots" if re.match(r"\.\w", rest[len(nword) :]) else "stop" if follow == "." else "blank" if not follow or follow.isspace() else "part" if follow in "_/@-" or follow.isdigit() else "other"
+    shape = "A" if len(nword) > 1 and nword.isupper() else ""
+    right = f"{nc}{shape}:{min(len(nword), 2)}:{then}"
+    path = "path" if re.search(r"[/@_\\]|^www\.", run) else "number" if re.search(r"\d\.\d", run) else "dots" if "." in run else "plain"
+    f = [f"T|k={kind}|n={nc}", f"T|r={right}|k={kind}", f"T|l={left}|n={nc}", f"T|{path}|n={nc}", f"T|{path}|k={kind}"]
+    if kind == ".":
+        f += [f"T|s={size}|n={nc}", f"T|w={wc}|n={nc}", f"T|w={wc}|s={size}", f"T|l={left}|s={size}|r={right}"]
+    return f
+
+
 def _viterbi(sites: list[list[str]], weights: dict[str, float]) -> list[bool]:
     """The best tags (boundary or not) of a chain of sites."""
     if not sites:
@@ -261,7 +274,7 @@ def _paragraph(rng: random.Random, lang: str) -> tuple[str, set[int]]:
     for _ in range(rng.randint(2, 8)):
         if text:
             ends.add(len(text))
-            tight = rng.random() < 0.04 and lang not in ("th", "lo") and not text.endswith(("etc.", "Inc.", "Ltd.", "U.S.", "U.K.", "m.", "usw.", "C.", "D.", "B."))
+            tight = rng.random() < 0.08 and lang not in ("th", "lo") and not text.endswith(("etc.", "Inc.", "Ltd.", "usw.", "C.", "D.", "B."))
             text += glue if not tight else ""
         text += fill(rng.choice(SEEDS[lang]))
     return text, ends

@@ -71,3 +71,23 @@ def test_edges(spark, weights):
     assert n == {"a": 4, None: 1, "l": 20_000}
     assert {tuple(r) for r in out.filter("id = 'a'").collect()} == {("a", 1, 0, 4, "One."), ("a", 2, 5, 9, "Two.")}
     assert S.split_sentences(rows.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["The clerk restored it.", "The window closes."],
+        ["They archived it.", "A painter asked us."],
+        ["It costs $3.", "The clerk paid."],
+        ["Send it to the API.", "We read it."],
+        ["She left (see p. 4).", "The road ended."],
+        ["그가 왔다.", "비가 왔다."],
+    ],
+)
+def test_stops_without_a_blank_after_short_words(weights, want):
+    assert units("".join(want), weights) == want
+
+
+def test_stops_within_names_end_nothing(weights):
+    for text in ["Open docs.gardens.example or http://a.com/x?b=c now.", "Use e.g. Node.js and v1.2.3 in the U.K.", "He has a Ph.D. in maths.", "Mr.Brown came at 10.30 to no.4.", "We use .NET and ASP.NET here."]:
+        assert units(text, weights) == [text]
