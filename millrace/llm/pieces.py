@@ -7,7 +7,6 @@ doubles, which gives all cuts of the greedy walk in as many rounds as the logari
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -152,23 +151,26 @@ def piece_spans(items: DataFrame, text: str, *, limit: int, overlap: int) -> Dat
         .distinct()
     )
     succ = cut(_successors(nodes, limit, overlap))
-    longest = succ.agg(F.max("size")).first()[0] or 0
-    # Two pieces in a row move on by more than limit - overlap - 1 characters, else they had been one.
-    rounds = math.ceil(math.log2(2 * longest / (limit - overlap) + 3)) if longest else 0
     jump = succ.select("item", "size", "pos", "next")
-    reached = succ.filter(F.col("pos") == 0).select("item", F.col("pos"))
-    for k in range(rounds):
+    reached = cut(succ.filter(F.col("pos") == 0).select("item", F.col("pos")))
+    count = reached.count()
+    # No bound on the pieces is assumed: the doubling ends when no walk is left inside its text.
+    while count:
         moved = reached.join(jump, ["item", "pos"]).filter(F.col("next") < F.col("size")).select("item", F.col("next").alias("pos"))
         reached = cut(reached.unionByName(moved))
-        if k + 1 < rounds:
-            ahead = jump.select("item", F.col("pos").alias("next"), F.col("next").alias("then"))
-            # Walks that have ended drop out: the next table holds only jumps that still land inside the text.
-            jump = cut(jump.join(ahead, ["item", "next"]).select("item", "size", "pos", F.col("then").alias("next")))
+        before, count = count, reached.count()
+        if count == before:
+            break
+        ahead = jump.select("item", F.col("pos").alias("next"), F.col("next").alias("then"))
+        # Walks that have ended drop out: the next table holds only jumps that still land inside the text.
+        jump = cut(jump.join(ahead, ["item", "next"]).select("item", "size", "pos", F.col("then").alias("next")))
     walk = Window.partitionBy("item").orderBy("pos")
     kinds = nodes.select("item", F.col("pos").alias("next"), "kind")
+    short = F.lead("pos").over(walk).isNull() & (F.col("next") != F.col("size"))
     return (
         reached.join(succ, ["item", "pos"])
         .withColumn("piece_no", F.row_number().over(walk))
+        .withColumn("next", F.when(short, F.raise_error(F.lit("the pieces end before their text")).cast("int")).otherwise(F.col("next")))
         .join(kinds, ["item", "next"])
         .select("item", "piece_no", F.col("start").alias("start_pos"), F.col("next").alias("end_pos"), F.col("kind").alias("cut_kind"))
     )

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from millrace.llm.pieces import boundaries, split_oversized
+from millrace.llm.pieces import boundaries, piece_spans, split_oversized
 
 SCHEMA = "src string, id string, body string, item string, piece_no int"
 LIMIT, OVERLAP = 200, 24
@@ -102,3 +102,16 @@ def test_nulls_repeats_and_long_texts(spark):
     assert split_oversized(rows.limit(0), ["id"], "body").count() == 0
     with pytest.raises(ValueError):
         split_oversized(rows, ["id"], "body", limit_tokens=10, overlap_tokens=5)
+
+
+def test_cuts_of_mixed_kinds_reach_the_end(spark):
+    # A paragraph, a line and a sentence cut in turn, each just half full: 132 pieces in 3,112 characters.
+    chars = list("x " * 1556)
+    for at in range(32, len(chars), 70):
+        for end, mark in ((at, "\n\n"), (at + 18, "x\n"), (at + 36, ". ")):
+            if end <= len(chars):
+                chars[end - 2 : end] = mark
+    text = "".join(chars)
+    spans = piece_spans(spark.createDataFrame([("a", text)], "item string, t string"), "t", limit=64, overlap=14).orderBy("piece_no").collect()
+    assert len(spans) > 128 and spans[0].start_pos == 0 and spans[-1].end_pos == len(text)
+    assert all(b.start_pos <= a.end_pos < b.end_pos for a, b in zip(spans, spans[1:]))
