@@ -27,9 +27,8 @@ def vector_search(
     return some.orderBy(F.desc_nulls_last("score"), F.asc(id_column)).limit(top_k)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; null, empty and zero vectors become NaN."""
-    width = max((len(v) for v in vectors if v is not None), default=1) or 1
+def _unit(vectors: pd.Series, width: int) -> np.ndarray:
+    """Rows scaled to length one; null and zero vectors and those of another dimension become NaN."""
     out = np.full((len(vectors), width), np.nan)
     for k, v in enumerate(vectors):
         if v is not None and len(v) == width:
@@ -49,6 +48,16 @@ def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, top_k: int
     return frame[frame["score"].notna()]
 
 
+def _products(a: pd.DataFrame, q: pd.DataFrame, top_k: int) -> pd.DataFrame:
+    """The best ``top_k`` rows of ``a`` for each query of ``q``, each dimension by itself."""
+    wide, asked = (df["v"].map(lambda v: 0 if v is None else len(v)).to_numpy() for df in (a, q))
+    found = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
+    for width in np.intersect1d(wide[wide > 0], asked[asked > 0]):
+        x, y = a[wide == width], q[asked == width]
+        found.append(_best(y["id"].to_numpy(), x["id"].to_numpy(), _unit(y["v"], width) @ _unit(x["v"], width).T, top_k))
+    return pd.concat(found[1:]) if len(found) > 1 else found[0]
+
+
 def search_all(rows: DataFrame, queries: DataFrame, embedding: str, id_column: str, *, top_k: int = 10, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): for every query its ``top_k`` most similar rows, exactly, itself included.
 
@@ -70,10 +79,7 @@ def search_all(rows: DataFrame, queries: DataFrame, embedding: str, id_column: s
     def product(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(q):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x, y = _unit(a["v"]), _unit(q["v"])
-        if x.shape[1] != y.shape[1]:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(q["id"].to_numpy(), a["id"].to_numpy(), y @ x.T, top_k)
+        return _products(a, q, top_k)
 
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(product, "query_id long, id long, score double")
     return _ranked(found, top_k)
@@ -96,11 +102,13 @@ class CellIndex:
         ids = F.col(id_column).cast("long")
         self._rows = rows.select(ids.alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null and size(v) > 0")
         sample = self._rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(fit_rows).select("v").toPandas()["v"]
-        self.centroids = self._fit(_unit(sample), cells, seed)
-        centroids = self.centroids
+        # The cells are those of the sample's commonest dimension; vectors of another lie in cell 0.
+        self.width = int(sample.map(len).mode().iloc[0]) if len(sample) else 1
+        self.centroids = self._fit(_unit(sample, self.width), cells, seed)
+        centroids, width = self.centroids, self.width
 
         def nearest(vectors: pd.Series) -> pd.Series:
-            return pd.Series(np.nan_to_num(_unit(vectors) @ centroids.T, nan=-2.0).argmax(axis=1))
+            return pd.Series(np.nan_to_num(_unit(vectors, width) @ centroids.T, nan=-2.0).argmax(axis=1))
 
         self.cells = cut(self._rows.withColumn("cell", F.pandas_udf(nearest, "long")("v")))
 
@@ -120,11 +128,11 @@ class CellIndex:
 
     def search(self, queries: DataFrame, embedding: str, id_column: str, *, top_k: int = 10, probes: int = 36, salts: int = 4) -> DataFrame:
         """(query_id, id, score, rank) from the probed cells; large cells are read in ``salts`` parts."""
-        centroids = self.centroids
+        centroids, width = self.centroids, self.width
 
         def near(vectors: pd.Series) -> pd.Series:
-            sims = np.nan_to_num(_unit(vectors) @ centroids.T, nan=-2.0)
-            return pd.Series([list(map(int, r[:probes])) for r in np.argsort(-sims, axis=1)])
+            sims = np.nan_to_num(_unit(vectors, width) @ centroids.T, nan=-2.0)
+            return pd.Series([list(map(int, r[:probes])) for r in np.argsort(-sims, axis=1, kind="stable")])
 
         asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(embedding).alias("v")).filter("id is not null and v is not null and size(v) > 0")
         asked = asked.withColumn("cell", F.explode(F.pandas_udf(near, "array<long>")("v"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
@@ -133,7 +141,7 @@ class CellIndex:
         def product(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(q):
                 return pd.DataFrame({"query_id": [], "id": [], "score": []})
-            return _best(q["id"].to_numpy(), a["id"].to_numpy(), _unit(q["v"]) @ _unit(a["v"]).T, top_k)
+            return _products(a, q, top_k)
 
         found = held.groupBy("cell", "s").cogroup(asked.groupBy("cell", "s")).applyInPandas(product, "query_id long, id long, score double")
         return _ranked(found, top_k)
