@@ -38,7 +38,11 @@ ROLES = set("customer rep agent engineer user assistant system speaker host gues
 OPEN, CLOSE = "“„«»「『《〈（([{‘‹‚\"'", "”“»«」』》〉）)]}’›\"'"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "‘": "’", "‹": "›", '"': '"', "'": "'"}
 _BRACKETS = "（([「『《〈"
-_WIDE_MARKS = "。！？｡．।॥۔؟։።፧…"
+# Sentence_Terminal of Unicode beyond ASCII, with the section and verse marks of Tibetan, Khmer and Mongolian.
+_WIDE_MARKS = (
+    "。！？｡．।॥۔؟։።፧…؝؞܀܁܂߹࠷࠹࠽࠾၊။፨᙮᜵᜶។៕᠃᠉᥄᥅᪨᪩᪪᪫᭎᭏᭚᭛᭞᭟᭽᭾᭿᰻᰼᱾᱿།༎༏༐༑‼‽⁇⁈⁉⸼⹓⹔꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗"
+    "\U00010a56\U00010a57\U00011047\U00011048\U000110be\U000110bf\U000110c0\U000110c1\U00011141\U00011142\U00011143\U000111c5\U000111c6\U000111cd\U000111de\U000111df"
+)
 _NO_MARKS = r"฀-๏๚-๿ກ-໏ໜ-໿"
 _SITE = re.compile(rf"(?P<m>[.!?;{_WIDE_MARKS}]+(?: [!?]+)?)(?P<c>(?:[”“»«」』》〉）)\]}}’›\"']|\s(?=[»›]))*)|(?<=[{_NO_MARKS}])(?P<b>\s+)(?=[{_NO_MARKS}])|(?P<b2>(?<=\S)\s+(?=\S))")
 _WORD_BEFORE = re.compile(r"[^\s“„«»「『《（(\[‘‹\"'.…!?—–]*(?:\.[^\s“„«»「『《（(\[‘‹\"'.…!?—–]+)*$")

@@ -91,3 +91,8 @@ def test_stops_without_a_blank_after_short_words(weights, want):
 def test_stops_within_names_end_nothing(weights):
     for text in ["Open docs.gardens.example or http://a.com/x?b=c now.", "Use e.g. Node.js and v1.2.3 in the U.K.", "He has a Ph.D. in maths.", "Mr.Brown came at 10.30 to no.4.", "We use .NET and ASP.NET here."]:
         assert units(text, weights) == [text]
+
+
+@pytest.mark.parametrize(("first", "gap", "second"), [("ខ្ញុំទៅផ្ទះ។", " ", "គាត់មក។"), ("သူလာသည်။", " ", "ငါသွားသည်။"), ("ང་འགྲོ།", " ", "ཁོ་ཡོང་།"), ("ᠪᠢ ᠶᠠᠪᠤᠨ᠎ᠠ᠃", " ", "ᠲᠡᠷᠡ ᠢᠷᠡᠪᠡ᠃")])
+def test_end_marks_of_other_scripts(weights, first, gap, second):
+    assert units(first + gap + second, weights) == [first, second]
