@@ -96,3 +96,47 @@ def test_stops_within_names_end_nothing(weights):
 @pytest.mark.parametrize(("first", "gap", "second"), [("ខ្ញុំទៅផ្ទះ។", " ", "គាត់មក។"), ("သူလာသည်။", " ", "ငါသွားသည်။"), ("ང་འགྲོ།", " ", "ཁོ་ཡོང་།"), ("ᠪᠢ ᠶᠠᠪᠤᠨ᠎ᠠ᠃", " ", "ᠲᠡᠷᠡ ᠢᠷᠡᠪᠡ᠃")])
 def test_end_marks_of_other_scripts(weights, first, gap, second):
     assert units(first + gap + second, weights) == [first, second]
+
+
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["Gov. Smith met Sen. Jones on Jan. 5.", "The vote was close."],
+        ["See Eq. 3 and Ref. 4.", "It follows."],
+        ["It costs approx. $5 today.", "Pay now."],
+        ["Он живёт на ул. Ленина.", "Дом стар."],
+        ["Il sig. Rossi è qui.", "La porta è chiusa."],
+        ["Dhr. Jansen kwam laat.", "Niemand zag hem."],
+        ["Mgr. Novak came.", "He sat down."],
+        ["ཀ་ཁ།", "ག་ང།"],
+        ["ភាសា។", "ខ្ញុំ។"],
+        ["မြန်မာ။", "စာ။"],
+    ],
+)
+def test_other_languages_and_abbreviations_not_in_training(weights, want):
+    assert units(" ".join(want), weights) == want
+
+
+def test_words_are_read_whole(weights):
+    for word in ("x" * 30, "x" * 200, "word " * 60 + "end"):
+        assert units(f"{word}. The end came.", weights) == [f"{word}.", "The end came."]
+    name = "a" * 300 + "_b.csv"
+    assert units(f"We sold {name}. The end came.", weights) == [f"We sold {name}.", "The end came."]
+    assert units("Nobody came. " + "Y" + "y" * 200 + " left.", weights)[0] == "Nobody came."
+
+
+def test_scripts_without_marks_are_learned_from_stripped_text(weights):
+    rng = random.Random(1)
+    for _ in range(50):
+        text, ends = S._paragraph(rng, "th")
+        assert not text.endswith((".", "?", "!"))
+        places = [place for p, place in S.observe(text, weights.lexicon) if p in ends and place[0] == "b"]
+        assert len(places) == len(ends)
+    # A blank beside a number or a foreign word is a site as well, which the model turns down.
+    assert [p for p, _ in S.observe("ก 14 ข", weights.lexicon)] == [1, 4]
+    assert units("ก 14 ข file ค ง", weights) == ["ก 14 ข file ค", "ง"]
+
+
+def test_time_grows_with_the_text_alone(weights):
+    for text in ("a." * 100_000, "(" * 100_000 + "a. B" + "]" * 50_000, "“a. B” " * 20_000, " ." * 100_000):
+        assert len(units(text, weights)) >= 1
