@@ -1,172 +1,54 @@
 """Per-document text quality statistics, and which documents are not natural prose.
 
-An ordered rule list is induced by incremental reduced-error pruning on labelled blocks of text; its learned
-thresholds become SQL CASE expressions over statistics that Spark computes itself, block by block within a
-row: no Python and no shuffle touches the documents.
+An ordered rule list is induced by incremental reduced-error pruning on labelled blocks of text. Its learned
+thresholds are exported as SQL CASE expressions, which Spark applies natively, block by block within a row:
+no shuffle touches the documents. The statistics come in Arrow batches from ``quality_counts``, which counts
+all blocks of a batch at once; only those that the rules name leave the worker. (Counted by regular expressions
+in the JVM they took seven times the CPU time.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.quality_counts import FEATURES, STATISTICS, count_blocks, figure
+from millrace.llm.quality_rules import RULES
 from millrace.llm.quality_seeds import labelled
+from millrace.plans.session import ship
 
 KINDS = ("junk", "table", "list")
-
-# Common words of the languages at hand; for scripts without blanks, common short strings.
-COMMON_WORDS = (
-    "the a an of to in and is was were be are for on at by with as it its that this these those not no or but so if when while once until before after because we you i they he she our your nobody somebody all still only about than rather do does did can please "
-    "der die das ein eine einen den dem des und ist war nicht zu von mit für auf bei nach vor seit wegen trotz obwohl niemand wer warum bitte am im es er sie wir hier "
-    "le la les un une des du de et est a pas pour dans par sur avec mais personne pourquoi il elle nous notre depuis "
-    "el los las una y es no por para con en se lo nadie que qué del al cuando "
-    "o os as um uma e é não por para com em que ninguém nossa foi do da dos das ao "
-    "ο η το οι τα του της τον την και δεν από σε με για αλλά κανείς που χωρίς "
-    "من في على إلى عن هل لماذا قال دون بعد قبل أحد ولم التي الذي "
-    "کا کی کے کو سے میں پر اور ہے ہیں نے کیوں بغیر گیا "
-    "का की के को से में पर और है हैं ने क्यों नहीं गया किसी "
-    "እና ከ ወደ ያለ ነው ነበር ለምን ገና "
-    "և է էր ոչ ոք բայց առանց որ "
-    "및 왜 그러나 아무도 아직 두 많은"
-)
-COMMON_STRINGS = "的|了|是|在|和|没有|什么|请|从|把|但是|如果|の|を|は|に|が|で|と|も|た。|ました|ている|ที่|และ|แล้ว|จึง|ทำไม|ไม่|กรุณา|จาก|เป็น|โดย"
-_WORDS = list(dict.fromkeys(COMMON_WORDS.split()))
-#: Letters of scripts that write no blanks between words.
-_UNSPACED = r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]"
-_WORD = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_-]*"
-_END = r"[.!?…。！？｡।॥؟۔։።;][\"'”’»›“」』）)\]]*"
-
-#: name -> (what it counts, pattern); each becomes a number per line, per word or per character below.
-_COUNTS = {
-    "ended": r"(?m)" + _END + r"[ \t]*(?:[^\p{L}\p{N}\n]{0,6})?$",
-    "bullets": r"(?m)^[ \t]*(?:[-*•・+◦▪–o]|\[[ xX]\]|[☐☑☒])\s*(?=[\p{L}\p{N}\"'«“¿¡「『《(—_])(?<![o+][\p{L}])(?<!-\d)",
-    "numbered": r"(?m)^[ \t]*(?:\(?\d{1,3}[.):]|\d+(?:\.\d+)+)[ \t]+(?=\S*[\p{L}_])",
-    "leaders": r"(?m)\.{3,} ?\d+[ \t]*$",
-    "urls": r"(?m)^[ \t]*\w+://\S+[ \t]*$",
-    "pipes": r"\|",
-    "tabs": r"\t",
-    "gaps": r"\S {2,}(?=\S)",
-    "assigned": r"(?m)^[^=\n<>(]{1,60} =(?: |$)",
-    "keyed": r"(?m)^[^:\n.]{1,40}: \S",
-    "tight": r"(?<!\d)[,;](?=\S)|[,;](?=[^\s\d])",
-    "commas": r"[,，、] ?",
-    "semicolons": r"; ",
-    "slashes": r" / ",
-    "cells": r"(?i)<t[dhr]\b",
-    "tags": r"(?i)</?(?!t[dhr]\b|table|tbody)[a-z][^<>\n]*>",
-    "json": r"\":",
-    "numbers": r"(?<!\S)-?\d+(?:\.\d+)?(?!\S)",
-    "pairs": r"(?<!\S)[0-9a-f]{2}(?!\S)",
-    "ends": _END + r"(?=\s|$|[぀-ヿ㐀-鿿])",
-    "tokens": r"\S+",
-    "clusters": r"(?i)[bcdfghjklmnpqrstvwxz]{4,}|(?<![\p{L}\p{M}'’.])[b-df-hj-np-tv-xz](?![\p{L}\p{M}.'’:>)])",
-    "mojibake": r"[ÃÂàáâãäåæçèéêëÐÑØÙÚÛÔÕÖ][\u0080-¿]",
-    "code": r"\b(?i:select|from|left join|where|group by|def|return|import|line \d+, in)\b|[;{}]$|[a-z]\(\w*\)|[a-z]\[\d+\]",
-    "stamps": r"(?m)^\d{4}-\d\d-\d\d[T ]",
-    "idents": r"\b[a-z]+(?:_[a-z0-9]+)+",
-    "menus": r" [·|>»] ",
-    "menu_words": r"(?i)(?<![\p{L}])(?:home|menu|search|log ?in|sign (?:in|up)|share|next ?»|« ?back|top|cookies|accept all|contact|help|print)(?![\p{L}])",
-}
-#: name -> pattern of the characters whose share of the block counts.
-_CHARS = {
-    "letters": r"[\p{L}\p{M}]+",
-    "digits": r"\p{N}+",
-    "blanks": r"\s+",
-    "long_tokens": r"[!-~]{40,}",
-    "runs": r"([^\p{L}\p{N}\s])\1{7,}",
-    "damage": r"[¦§¤\x{FFFD}#~^|\u0080-\u009f]+",
-}
-FEATURES = (
-    "ended bullets numbered leaders urls pipes tabs gaps assigned keyed stamps code_line line_length words_line commas_word semicolons_word slashes_word tight_token "
-    "cells_char tags_char json_char numbers_token pairs_token ends_char common_word clusters_word mojibake_char idents_word menus_token menu_words_token separators_end "
-    "letters digits symbols long_tokens runs damage word_length variety distinct_parts parts lines".split()
-)
-
-
-def _raw(block: Column) -> Column:
-    """Everything that is counted in a block. Arrays that serve several counts are made once, in a struct."""
-    low = F.lower(block)
-    arrays = F.struct(
-        block.alias("t"),
-        F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"),
-        F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]{1,4}"), F.lit(0)).alias("runs"),
-        F.filter(F.split(F.regexp_replace(block, r"[\p{N}()]+", ""), r"[\n.!?。！？।۔։]+\s*"), lambda w: F.length(w) > 3).alias("parts"),
-    )
-    return F.transform(F.array(arrays), _counts)[0]
-
-
-def _counts(a: Column) -> Column:
-    block = a.t
-    chars = [(F.length(block) - F.length(F.regexp_replace(block, p, ""))).alias(k) for k, p in _CHARS.items()]
-    strings = F.when(block.rlike(_UNSPACED), F.regexp_count(block, F.lit(COMMON_STRINGS))).otherwise(0)
-    return F.struct(
-        F.length(block).alias("n"),
-        (F.regexp_count(block, F.lit("\n")) + 1).alias("lines"),
-        *[F.regexp_count(block, F.lit(p)).alias(k) for k, p in _COUNTS.items()],
-        F.size(a.words).alias("words"),
-        F.size(F.filter(a.words, lambda w: w.isin(_WORDS))).alias("common"),
-        strings.alias("common_strings"),
-        *chars,
-        F.size(a.runs).alias("w_all"),
-        F.size(F.array_distinct(a.runs)).alias("w_distinct"),
-        F.size(a.parts).alias("p_all"),
-        F.size(F.array_distinct(a.parts)).alias("p_distinct"),
-    )
-
-
-def _figures(c: Column) -> Column:
-    """The features of a block from its counts."""
-
-    def per(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(c[a].cast("double"), c[b].cast("double")), F.lit(0.0))
-
-    out = {k: per(k, "lines") for k in "ended bullets numbered leaders urls pipes tabs gaps assigned keyed stamps".split()}
-    out |= {"code_line": per("code", "lines"), "line_length": per("n", "lines"), "words_line": per("words", "lines")}
-    out |= {f"{k}_word": per(k, "words") for k in "commas semicolons slashes clusters idents".split()}
-    out |= {f"{k}_char": per(k, "n") for k in "cells tags json ends mojibake".split()}
-    out |= {f"{k}_token": per(k, "tokens") for k in "tight numbers pairs menus menu_words".split()}
-    out |= {k: per(k, "n") for k in "letters digits long_tokens runs damage".split()}
-    out["symbols"] = F.coalesce(F.try_divide((c.n - c.letters - c.digits - c.blanks).cast("double"), c.n.cast("double")), F.lit(0.0))
-    out["word_length"] = per("letters", "words")
-    # In scripts without blanks a word is counted for every two letters.
-    out["common_word"] = F.coalesce(F.try_divide((c.common + c.common_strings).cast("double"), F.greatest(c.words, F.when(c.common_strings > c.common, c.letters / 3).otherwise(0)).cast("double")), F.lit(0.0))
-    # Guiraud's index over runs of up to four letters: unlike a share of distinct words it falls only slowly
-    # with length, and it needs no blanks between words.
-    out["variety"] = F.when(c.w_all > 0, c.w_distinct / F.sqrt(c.w_all.cast("double"))).otherwise(0.0)
-    out["parts"] = c.p_distinct.cast("double")
-    out["separators_end"] = (c.commas + c.semicolons + c.slashes).cast("double") / (c.ends + 1)
-    out["distinct_parts"] = F.when(c.p_all > 0, per("p_distinct", "p_all")).otherwise(1.0)
-    out["lines"] = c.lines.cast("double")
-    return F.struct(c.n.alias("n"), *[out[k].alias(k) for k in FEATURES])
-
-
-def blocks(text: Column) -> Column:
-    """The paragraphs of ``text``: what blank lines part."""
-    clean = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.filter(F.transform(F.split(clean, r"\n[^\S\n]*\n\s*"), lambda b: F.regexp_replace(b, r"^\n+|\s+$", "")), lambda b: b.rlike(r"\S"))
+#: Characters counted at once; a longer text is counted in parts that end at blank lines.
+SLICE = 250_000
 
 
 @dataclass(frozen=True)
 class Rule:
+    """A kind and its conditions (feature, over, threshold): all must hold."""
+
     kind: str
-    conditions: tuple[tuple[int, bool, float], ...]
+    conditions: tuple[tuple[str, bool, float], ...]
 
     def covers(self, x: np.ndarray) -> np.ndarray:
-        return reduce(np.logical_and, [x[:, f] > v if up else x[:, f] <= v for f, up, v in self.conditions], np.ones(len(x), bool))
+        """Which rows of features (in the order of ``FEATURES``) the rule takes."""
+        columns = [(x[:, FEATURES.index(f)], up, v) for f, up, v in self.conditions]
+        return reduce(np.logical_and, [c > v if up else c <= v for c, up, v in columns], np.ones(len(x), bool))
 
     def sql(self, c: Column) -> Column:
-        return reduce(Column.__and__, [c[FEATURES[f]] > v if up else c[FEATURES[f]] <= v for f, up, v in self.conditions])
+        return reduce(Column.__and__, [c[f"f_{f}"] > v if up else c[f"f_{f}"] <= v for f, up, v in self.conditions])
 
 
-def _best(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[int, bool, float] | None]:
+def _best(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[str, bool, float] | None]:
     """The condition of the greatest information gain for the positives of ``y`` (FOIL's)."""
     p0, n0 = y.sum(), (~y).sum()
     base = np.log2(p0 / (p0 + n0))
-    found: tuple[float, tuple[int, bool, float] | None] = (1e-9, None)
+    found: tuple[float, tuple[str, bool, float] | None] = (1e-9, None)
     for f in range(x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, pos = x[order, f], np.cumsum(y[order])
@@ -179,7 +61,7 @@ def _best(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[int, bool, float]
                 gain = np.where(p > 0, p * (np.log2(p / t) - base), 0)
             k = int(np.argmax(gain))
             if gain[k] > found[0]:
-                found = (float(gain[k]), (f, up, float((v[cuts[k]] + v[cuts[k] + 1]) / 2)))
+                found = (float(gain[k]), (FEATURES[f], up, float(f"{(v[cuts[k]] + v[cuts[k] + 1]) / 2:.6g}")))
     return found
 
 
@@ -191,7 +73,7 @@ def apply_rules(rules: list[Rule], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def induce(x: np.ndarray, labels: np.ndarray, *, seed: int = 3, most_rules: int = 40, attempts: int = 6, precise: float = 0.8) -> list[Rule]:
+def induce(x: np.ndarray, labels: np.ndarray, *, seed: int = 3, most_rules: int = 40, attempts: int = 6, precise: float = 0.85) -> list[Rule]:
     """An ordered rule list by incremental reduced-error pruning; what no rule covers is prose.
 
     Kinds are learned in the order of ``KINDS``, each against those not yet covered. A rule is grown on two
@@ -210,7 +92,7 @@ def induce(x: np.ndarray, labels: np.ndarray, *, seed: int = 3, most_rules: int
                 break
             grow = rng.random(len(rows)) < 2 / 3
             gx, gy, px, py = x[rows[grow]], y[grow], x[rows[~grow]], y[~grow]
-            conditions: list[tuple[int, bool, float]] = []
+            conditions: list[tuple[str, bool, float]] = []
             mask = np.ones(len(gx), bool)
             while gy[mask].any() and (~gy[mask]).any() and len(conditions) < 8:
                 _, c = _best(gx[mask], gy[mask])
@@ -237,25 +119,61 @@ def induce(x: np.ndarray, labels: np.ndarray, *, seed: int = 3, most_rules: int
     return rules
 
 
-@lru_cache(maxsize=4)
-def _learned(context: str, count: int, seed: int) -> tuple[Rule, ...]:
-    rows = labelled(count, seed)
-    spark = SparkSession.active()
-    frame = spark.createDataFrame([(k, label, block) for k, (label, block) in enumerate(rows)], "k int, label string, block string")
-    c = _figures(F.col("raw"))
-    table = frame.withColumn("raw", _raw(F.regexp_replace("block", r"^\n+|\s+$", ""))).select("k", "label", c.alias("f")).select("k", "label", "f.*").orderBy("k").toPandas()
-    x, y = table[list(FEATURES)].to_numpy(float), table["label"].to_numpy()
-    held = np.random.default_rng(seed).random(len(x)) < 0.25
-    lists = [induce(x[~held], y[~held], seed=k) for k in range(5)]
-    return tuple(max(lists, key=lambda rules: (apply_rules(rules, x[held]) == y[held]).mean()))
+def table_of(blocks_of_text: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features, in the order of ``FEATURES``, and labels of (label, block)."""
+    owner, counts = count_blocks([block for _, block in blocks_of_text])
+    x = np.column_stack([figure(counts, f) for f in FEATURES])
+    return x, np.array([label for label, _ in blocks_of_text], dtype=object)[owner]
 
 
-def rule_list(spark: SparkSession, *, labelled_blocks: int = 15000, seed: int = 11) -> list[Rule]:
+def learn(*, labelled_blocks: int = 40000, seed: int = 11, lists: int = 5) -> list[Rule]:
     """The rules learned from ``labelled_blocks`` labelled blocks (a fixed bound, whatever the data's size).
 
-    Five lists are induced on three quarters of the blocks; the one best on the rest is kept.
+    ``lists`` rule lists are induced on three quarters of the blocks; the one best on the rest is kept.
     """
-    return list(_learned(spark.sparkContext.applicationId, labelled_blocks, seed))
+    x, y = table_of(labelled(labelled_blocks, seed))
+    held = np.random.default_rng(seed).random(len(x)) < 0.25
+    found = [induce(x[~held], y[~held], seed=k) for k in range(lists)]
+    return max(found, key=lambda rules: (apply_rules(rules, x[held]) == y[held]).mean())
+
+
+def rule_list() -> list[Rule]:
+    """The rules that ``python -m millrace.llm.quality_learn`` has written."""
+    return [Rule(kind, tuple((f, sign == ">", v) for f, sign, v in conditions)) for kind, conditions in RULES]
+
+
+def _parts(text: str) -> list[str]:
+    """``text`` with plain line ends, in parts of about ``SLICE`` characters that end at blank lines."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    parts, at = [], 0
+    while len(text) - at > 2 * SLICE and (cut := text.find("\n\n", at + SLICE)) >= 0:
+        parts.append(text[at:cut])
+        at = cut
+    parts.append(text[at:])
+    return parts
+
+
+def _judged(texts: list[str | None], features: list[str]) -> pa.Array:
+    """One list of structs (statistics, features) per text: its blocks in order."""
+    parts = [(k, part) for k, text in enumerate(texts) if text for part in _parts(text)]
+    owners, columns, at = [], [], 0
+    while at < len(parts):
+        upto, size = at, 0
+        while upto < len(parts) and size < SLICE:
+            size, upto = size + len(parts[upto][1]), upto + 1
+        owner, counts = count_blocks([part for _, part in parts[at:upto]])
+        owners.append(np.array([k for k, _ in parts[at:upto]], dtype=np.int64)[owner])
+        columns.append([counts[c].astype(np.int32) for c in STATISTICS] + [figure(counts, f) for f in features])
+        at = upto
+    names = [*STATISTICS, *[f"f_{f}" for f in features]]
+    if not columns:
+        kinds = [pa.int32()] * len(STATISTICS) + [pa.float64()] * len(features)
+        blocks = pa.StructArray.from_arrays([pa.array([], k) for k in kinds], names)
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), blocks)
+    per_text = np.bincount(np.concatenate(owners), minlength=len(texts))
+    offsets = np.concatenate(([0], np.cumsum(per_text))).astype(np.int32)
+    blocks = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns)], names)
+    return pa.ListArray.from_arrays(pa.array(offsets), blocks)
 
 
 def kind_of(rules: list[Rule], c: Column) -> Column:
@@ -276,14 +194,24 @@ def text_quality(docs: DataFrame, doc: str, text: str, rules: list[Rule] | None
     the first of junk, table, list holds; repeated rows come out once per row; texts are read whole; other
     columns are ignored, whatever their names.
     """
-    rules = rule_list(docs.sparkSession) if rules is None else rules
-    judged = F.transform(F.transform(F.transform(blocks(F.coalesce("__t", F.lit(""))), _raw), lambda c: F.struct(_figures(c).alias("f"), c.alias("c"))), lambda s: F.struct(kind_of(rules, s.f).alias("kind"), s.c.alias("c")))
+    rules = rule_list() if rules is None else rules
+    features = list(dict.fromkeys(f for rule in rules for f, _, _ in rule.conditions))
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _judged(batch.column(1).to_pylist(), features)], names=["__d", "b"])
+
+    kind = docs.schema[doc].dataType.simpleString()
+    fields = ", ".join([f"{c}: int" for c in STATISTICS] + [f"f_{f}: double" for f in features])
+    counted = docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")).mapInArrow(count, f"__d {kind}, b array<struct<{fields}>>")
+    judged = F.transform("b", lambda c: F.struct(kind_of(rules, c).alias("kind"), *[c[s].alias(s) for s in STATISTICS]))
     # The one-element explode keeps filters on the result from being pushed below, where they would judge every block again.
-    rows = docs.select(F.col(doc).alias("__d"), F.col(text).alias("__t")).select("__d", F.explode(F.array(judged)).alias("b"))
+    rows = counted.select("__d", F.explode(F.array(judged)).alias("b"))
 
     def total(name: str, kind: str | None = None) -> Column:
         some = F.col("b") if kind is None else F.filter("b", lambda s: s.kind == kind)
-        return F.aggregate(some, F.lit(0).cast("long"), lambda a, s: a + s.c[name])
+        return F.aggregate(some, F.lit(0).cast("long"), lambda a, s: a + s[name])
 
     n, words = total("n"), total("words")
     share = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
