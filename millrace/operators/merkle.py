@@ -4,12 +4,14 @@ Records fall into leaves by the leading hex digits of a hash of their key; a nod
 of its children without regard to order. The current and the saved tree are compared from the root down,
 only below nodes that differ; the records of the leaves that differ are extracted and compared exactly.
 Output and tree are published together under one pointer, so a failed run leaves the last state in force.
+
+A tree has at most ``16 ** depth`` leaves a model, however many records there are.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 from millrace.plans.session import cut
 from millrace.plans.state import Pointer
 
-HEX = 16
 DIGEST = ("d1", "d2", "n")
+TREE = "model_name string, node string, level int, d1 long, d2 long, n long"
+RECORDS = "model_name string, record_key string, state_hash string, leaf string"
 
 
 def with_leaf(records: DataFrame, depth: int, group: str = "model_name", key: str = "record_key") -> DataFrame:
@@ -26,11 +29,6 @@ def with_leaf(records: DataFrame, depth: int, group: str = "model_name", key: st
     return records.withColumn("leaf", F.substring(F.lpad(F.lower(F.hex(F.xxhash64(group, key))), 16, "0"), 1, depth))
 
 
-def tree_depth(rows: int, leaf_rows: int = 64) -> int:
-    """Levels below the root so that a leaf holds about ``leaf_rows`` records."""
-    return max(1, min(10, math.ceil(math.log(max(rows, 2) / leaf_rows, HEX)))) if rows > leaf_rows else 1
-
-
 def build_tree(records: DataFrame, depth: int) -> DataFrame:
     """(model_name, level, node, d1, d2, n) of ``records`` (model_name, record_key, state_hash, leaf).
 
@@ -38,57 +36,50 @@ def build_tree(records: DataFrame, depth: int) -> DataFrame:
     Two 64-bit sums by exclusive or, with the count, stand for a node.
     """
     null_safe = [F.col("record_key"), F.col("state_hash").isNull(), F.coalesce("state_hash", F.lit(""))]
-    level = (
+    leaves = (
         records.groupBy("model_name", F.col("leaf").alias("node"))
         .agg(F.bit_xor(F.xxhash64(*null_safe)).alias("d1"), F.bit_xor(F.xxhash64(F.lit("b"), *null_safe)).alias("d2"), F.count("*").alias("n"))
         .withColumn("level", F.lit(depth))
     )
-    # Upper levels come from the leaves alone: one expansion and one small aggregation.
+    return with_upper_levels(leaves, depth)
+
+
+def with_upper_levels(leaves: DataFrame, depth: int) -> DataFrame:
+    """The whole tree of ``leaves`` (model_name, node, d1, d2, n): one expansion and one small aggregation."""
     return (
-        level.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+        leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
         .withColumn("node", F.expr("substring(node, 1, level)"))
         .groupBy("model_name", "level", "node")
         .agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"), F.sum("n").alias("n"))
+        .select("model_name", "node", "level", "d1", "d2", "n")
     )
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame, depth: int) -> DataFrame:
-    """(model_name, leaf) where the trees differ, found by descending only below nodes that differ."""
-    on = ["model_name", "node"]
-
-    def nodes(tree: DataFrame, level: int, side: str) -> DataFrame:
-        return tree.filter(F.col("level") == level).select(*on, *[F.col(d).alias(f"{side}_{d}") for d in DIGEST])
-
-    differ: DataFrame | None = None
-    for level in range(depth + 1):
-        now, then = nodes(current, level, "c"), nodes(saved, level, "s")
-        if differ is not None:
-            parents = differ.select("model_name", F.col("node").alias("__p"))
-            now, then = (
-                t.withColumn("__p", F.expr(f"substring(node, 1, {level - 1})")).join(parents, ["model_name", "__p"], "left_semi").drop("__p") for t in (now, then)
-            )
-        same = [F.col(f"c_{d}").eqNullSafe(F.col(f"s_{d}")) for d in DIGEST]
-        differ = now.join(then, on, "full_outer").filter(~(same[0] & same[1] & same[2])).select(*on)
-    return differ.withColumnRenamed("node", "leaf")
-
-
-def changed_records(current: DataFrame, saved: DataFrame, *, rows: int, leaf_rows: int = 64) -> DataFrame:
-    """(model_name, record_key, state_hash) of the records of ``current`` new or changed against ``saved``.
+    """(model_name, leaf) where the trees differ, found by descending only below nodes that differ.
 
-    Both hold (model_name, record_key, state_hash), keys unique per model; other columns are ignored.
-    ``rows`` sizes the tree (a count of either input; it decides no result).
-
-    Defined cases: a null key is no record; letter case of hashes has no meaning; a key without saved row is
-    new, whatever its hash; a null current hash of a known key is no change; a null saved hash differs from
-    any current one; saved keys that no longer exist are no result; either input may be empty.
+    The trees are laid side by side once; each level then keeps those of its unlike nodes whose parent was
+    kept, so the plan grows by one join a level.
     """
-    depth = tree_depth(rows, leaf_rows)
+    on = ["model_name", "level", "node"]
+    now = current.select(*on, *[F.col(d).alias(f"c_{d}") for d in DIGEST])
+    then = saved.select(*on, *[F.col(d).alias(f"s_{d}") for d in DIGEST])
+    same = [F.col(f"c_{d}").eqNullSafe(F.col(f"s_{d}")) for d in DIGEST]
+    unlike = cut(now.join(then, on, "full_outer").filter(~(same[0] & same[1] & same[2])).select(*on))
+    kept = unlike.filter("level = 0").select("model_name", "node")
+    for level in range(1, depth + 1):
+        parents = kept.select("model_name", F.col("node").alias("__p"))
+        below = unlike.filter(F.col("level") == level).select("model_name", "node", F.expr(f"substring(node, 1, {level - 1})").alias("__p"))
+        kept = below.join(parents, ["model_name", "__p"], "left_semi").select("model_name", "node")
+    return kept.withColumnRenamed("node", "leaf")
+
+
+def _of_records(df: DataFrame, depth: int) -> DataFrame:
+    return with_leaf(df.filter(F.col("record_key").isNotNull()).select("model_name", "record_key", F.lower("state_hash").alias("state_hash")), depth)
 
-    def side(df: DataFrame) -> DataFrame:
-        return cut(with_leaf(df.filter(F.col("record_key").isNotNull()).select("model_name", "record_key", F.lower("state_hash").alias("state_hash")), depth))
 
-    now, then = side(current), side(saved)
-    leaves = cut(changed_leaves(cut(build_tree(now, depth)), cut(build_tree(then, depth)), depth))
+def _new_or_changed(now: DataFrame, then: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The records of ``now`` in ``leaves`` that ``then`` does not hold or holds otherwise."""
     on = ["model_name", "leaf"]
     old = then.join(leaves, on, "left_semi").select("model_name", "record_key", F.col("state_hash").alias("__old"), F.lit(True).alias("__known"))
     return (
@@ -99,6 +90,22 @@ def changed_records(current: DataFrame, saved: DataFrame, *, rows: int, leaf_row
     )
 
 
+def changed_records(current: DataFrame, saved: DataFrame, *, depth: int = 4) -> DataFrame:
+    """(model_name, record_key, state_hash) of the records of ``current`` new or changed against ``saved``.
+
+    Both hold (model_name, record_key, state_hash), keys unique per model; other columns are ignored. Both
+    trees are built here, for states that are kept as a table of rows; ``MerkleStore`` keeps its tree.
+    ``depth`` is the trees' height in hex digits; it decides no result.
+
+    Defined cases: a null key is no record; letter case of hashes has no meaning; a key without saved row is
+    new, whatever its hash; a null current hash of a known key is no change; a null saved hash differs from
+    any current one; saved keys that no longer exist are no result; either input may be empty.
+    """
+    now, then = cut(_of_records(current, depth)), cut(_of_records(saved, depth))
+    leaves = cut(changed_leaves(build_tree(now, depth), build_tree(then, depth), depth))
+    return _new_or_changed(now, then, leaves)
+
+
 def latest(rows: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
     """``value`` of the row with the latest ``at`` per key (null ``at`` first; of a tie the greatest value)."""
     return rows.groupBy(*keys).agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))).alias("__m")).select(*keys, F.col("__m.v").alias(value))
@@ -127,46 +134,113 @@ def saved_state(state: DataFrame, log: DataFrame) -> DataFrame:
 
 
 class MerkleStore:
-    """Published states under ``root``: ``v-<id>/{output,records,tree}`` and the pointer file ``CURRENT``.
+    """Published states under ``root``, with their tree; the file ``CURRENT`` names the version in force.
 
-    ``publish`` writes all three and only then moves the pointer (a rename). A run that dies before has
-    published nothing, so the next one finds the same changes again; one that dies after has published all.
-    One writer at a time; readers always see one whole version.
+    A version holds ``output`` (what its run made), ``tree``, ``manifest`` (which version holds each folder of
+    records) and ``records`` in folders by the first ``digits`` of the leaf, of which it holds only those that
+    its run changed. A run compares the tree of the current records with the saved one, and reads and writes
+    the saved records of the folders with leaves that differ, no others.
+
+    The pointer moves last, by a rename. A run that dies before has published nothing, so the next one finds
+    the same changes again; one that dies after has published all. One writer at a time; readers always see
+    one whole version. ``depth`` and ``digits`` are those of the first version ever after.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, *, depth: int = 4, digits: int = 2) -> None:
+        if not 1 <= digits <= min(depth, 3):
+            raise ValueError("digits must be at least 1 and no more than depth or 3")
         self.spark, self.root = spark, root.rstrip("/")
         self._pointer = Pointer(spark, self.root)
+        self.depth, self.digits = depth, digits
+        first = None if self._pointer.get() is None else self._read("manifest").first()
+        if first is not None:
+            self.depth, self.digits = first["depth"], len(first["folder"])
+        #: Folders whose saved records the last run has read.
+        self.folders_read: list[str] = []
+
+    def _read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self._pointer.get()}/{part}")
 
     def read(self, part: str) -> DataFrame | None:
         """``output``, ``records`` or ``tree`` of the published version, None before the first."""
-        at = self._pointer.get()
-        return None if at is None else self.spark.read.parquet(f"{self.root}/{at}/{part}")
+        if self._pointer.get() is None:
+            return None
+        return self._records(self._manifest(), None) if part == "records" else self._read(part)
 
-    def run(self, current: DataFrame, *, rows: int, leaf_rows: int = 64, process=lambda changed: changed) -> DataFrame:
-        """Process the records of ``current`` changed since the last published run and publish output and tree."""
-        saved = self.read("records")
-        if saved is None:
-            saved = current.sparkSession.createDataFrame([], current.select("model_name", "record_key", "state_hash").schema)
-        output = process(changed_records(current, saved, rows=rows, leaf_rows=leaf_rows))
-        return self.publish(output, current, saved, rows=rows, leaf_rows=leaf_rows)
+    def _manifest(self) -> dict[str, str]:
+        """Folder to version: at most ``16 ** digits`` entries."""
+        return {} if self._pointer.get() is None else {r["folder"]: r["version"] for r in self._read("manifest").collect()}
 
-    def publish(self, output: DataFrame, current: DataFrame, saved: DataFrame, *, rows: int, leaf_rows: int = 64) -> DataFrame:
-        """Write ``output`` with the records and the tree it leaves behind, then move the pointer to them.
+    def _records(self, manifest: dict[str, str], folders: list[str] | None) -> DataFrame:
+        """The saved records of ``folders`` (None: of all)."""
+        paths = [f"{self.root}/{v}/records/folder={f}" for f, v in sorted(manifest.items()) if folders is None or f in folders]
+        return self.spark.read.schema(RECORDS).parquet(*paths) if paths else self.spark.createDataFrame([], RECORDS)
 
-        Records that vanished stay in the state; a null current hash keeps the stored one.
+    def run(self, current: DataFrame, *, process: Callable[[DataFrame], DataFrame] = lambda changed: changed) -> DataFrame:
+        """Process the records of ``current`` changed since the last published run and publish output and tree.
+
+        ``current`` is read once and written down, so a source that moves meanwhile cannot mark a record as
+        done that was not processed. Records that vanished stay in the state; a null current hash keeps the
+        stored one (the leaves of such records are read again each time).
         """
-        depth, version = tree_depth(rows, leaf_rows), f"v-{uuid.uuid4().hex}"
+        manifest = self._manifest()
+        now = cut(_of_records(current, self.depth))
+        saved_tree = self.spark.createDataFrame([], TREE) if not manifest else self._read("tree")
+        leaves = cut(changed_leaves(build_tree(now, self.depth), saved_tree, self.depth))
+        # Names of folders, at most 16 ** digits.
+        folders = sorted(r[0] for r in leaves.select(F.substring("leaf", 1, self.digits)).distinct().collect())
+        self.folders_read = [f for f in folders if f in manifest]
+        then = self._records(manifest, folders)
+        output = process(_new_or_changed(now, then, leaves))
+        version = f"v-{uuid.uuid4().hex}"
         base = f"{self.root}/{version}"
-        own = current.filter(F.col("record_key").isNotNull()).select("model_name", "record_key", F.lower("state_hash").alias("state_hash"))
-        merged = (
-            own.withColumn("__now", F.lit(1))
-            .unionByName(saved.select("model_name", "record_key", F.lower("state_hash").alias("state_hash")).withColumn("__now", F.lit(0)))
-            .groupBy("model_name", "record_key")
-            .agg(F.max_by("state_hash", F.when(F.col("state_hash").isNotNull(), F.col("__now"))).alias("state_hash"))
-        )
         output.write.parquet(f"{base}/output")
-        with_leaf(merged, depth).write.parquet(f"{base}/records")
-        build_tree(self.spark.read.parquet(f"{base}/records"), depth).write.parquet(f"{base}/tree")
+        self._write_records(base, now, then, folders)
+        self._write_tree(base, manifest, saved_tree, folders)
+        rows = [(f, v, self.depth) for f, v in sorted((manifest | dict.fromkeys(folders, version)).items())]
+        self.spark.createDataFrame(rows, "folder string, version string, depth int").coalesce(1).write.parquet(f"{base}/manifest")
         self._pointer.set(version)
         return self.spark.read.parquet(f"{base}/output")
+
+    def _write_records(self, base: str, now: DataFrame, then: DataFrame, folders: list[str]) -> None:
+        """The changed folders' records as this run leaves them."""
+        folder = F.substring("leaf", 1, self.digits)
+        (
+            now.filter(folder.isin(folders) if folders else F.lit(False))
+            .withColumn("__now", F.lit(1))
+            .unionByName(then.withColumn("__now", F.lit(0)))
+            .groupBy("model_name", "record_key", "leaf")
+            .agg(F.max_by("state_hash", F.when(F.col("state_hash").isNotNull(), F.col("__now"))).alias("state_hash"))
+            .withColumn("folder", folder)
+            .repartition("folder")
+            .write.partitionBy("folder")
+            .parquet(f"{base}/records")
+        )
+
+    def _write_tree(self, base: str, manifest: dict[str, str], saved_tree: DataFrame, folders: list[str]) -> None:
+        """The saved tree with the leaves of the changed folders replaced."""
+        fresh = self._records(dict.fromkeys(folders, base.rpartition("/")[2]), None)
+        inside = F.substring("node", 1, self.digits).isin(folders) if folders else F.lit(False)
+        held = saved_tree.filter((F.col("level") == self.depth) & ~inside)
+        made = build_tree(fresh, self.depth).filter(F.col("level") == self.depth)
+        with_upper_levels(held.unionByName(made).drop("level"), self.depth).coalesce(1 if self.depth < 4 else 8).write.parquet(f"{base}/tree")
+
+    def drop_old(self) -> list[str]:
+        """Remove what no reader of the published version needs; returns the versions that went whole."""
+        current, manifest, gone = self._pointer.get(), self._manifest(), []
+        files = self._pointer.files
+        for status in files.listStatus(self._pointer.path("")):
+            name = status.getPath().getName()
+            if not name.startswith("v-") or name == current:
+                continue
+            if name not in manifest.values():
+                files.delete(status.getPath(), True)
+                gone.append(name)
+                continue
+            for part in ("output", "tree", "manifest"):
+                files.delete(self._pointer.path(f"{name}/{part}"), True)
+            for folder in files.listStatus(self._pointer.path(f"{name}/records")):
+                key = folder.getPath().getName().removeprefix("folder=")
+                if folder.isDirectory() and manifest.get(key) != name:
+                    files.delete(folder.getPath(), True)
+        return gone

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.merkle import changed_records, latest, saved_state
+from millrace.operators.merkle import MerkleStore, changed_records, latest, saved_state
 from millrace.operators.orphans import find_orphans, plain_key
-from millrace.plans.session import read_table
+from millrace.plans.session import cut, read_table, scratch
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +80,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records new or changed against what successful runs left in delta_state."""
     state = read_table(spark, folder, "delta_state")
     saved = saved_state(state, read_table(spark, folder, "ai_run_log"))
-    return changed_records(current_records(spark, folder), saved, rows=state.count()).select("model_name", "record_key")
+    return changed_records(current_records(spark, folder), saved).select("model_name", "record_key")
+
+
+def _store_of_saved(spark: SparkSession, folder: str) -> MerkleStore:
+    """A store, in the shared folder, that holds what successful runs have left, as its first version."""
+    store = MerkleStore(spark, scratch(spark, "merkle"))
+    store.run(saved_state(read_table(spark, folder, "delta_state"), read_table(spark, folder, "ai_run_log")))
+    return store
+
+
+def p3_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through the saved tree of a store: what its next run processes."""
+    return _store_of_saved(spark, folder).run(current_records(spark, folder)).select("model_name", "record_key")
+
+
+def p3_repeated_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over records that the run before has processed: none is processed again."""
+    store = _store_of_saved(spark, folder)
+    current = cut(current_records(spark, folder))
+    store.run(current)
+    return store.run(current).agg(F.count("*").alias("processed"))
 
 
 _P3_SQL = """
@@ -95,9 +115,11 @@ SELECT now.model_name, now.record_key FROM now LEFT JOIN st ON st.model_name = n
 WHERE st.record_key IS NULL OR (now.h IS NOT NULL AND now.h IS DISTINCT FROM st.h)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_orphans_by_period": p1_orphans_by_period, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_orphans_by_period": p1_orphans_by_period, "p3_found": p3_found, "p3_incremental": p3_incremental, "p3_repeated_run": p3_repeated_run}
 SQL = {
     "p1_found": _P1_SQL + "SELECT * FROM found",
     "p1_orphans_by_period": _P1_SQL + "SELECT table_name, ref_month, count(*) AS orphan_keys FROM found GROUP BY ALL",
     "p3_found": _P3_SQL,
+    "p3_incremental": _P3_SQL,
+    "p3_repeated_run": "SELECT CAST(0 AS BIGINT) AS processed",
 }
