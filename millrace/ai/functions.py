@@ -14,6 +14,7 @@ from millrace.ai.provider import AiProvider, LocalProvider
 from millrace.functions import prompts as P
 from millrace.functions.text import col
 from millrace.operators.aggregate import agg_inputs
+from millrace.operators.cost import guard_agg_batch
 from millrace.plans.config import EngineConfig
 from millrace.plans.session import ship
 
@@ -45,6 +46,10 @@ class AiFunctions:
         if spark := SparkSession.getActiveSession():
             ship(spark)
 
+    def embedder(self) -> AiProvider:
+        """The provider that answers."""
+        return _PROVIDERS[self.provider]
+
     def embed(self, text: Column | str, model: str | None = None) -> Column:
         """Vector of a text, array<float>; null for null."""
         self._gate("embed")
@@ -90,7 +95,11 @@ class AiFunctions:
         return self._complete("extract", text, prompt, schema, model, "json")
 
     def ai_agg(self, rows: DataFrame, group_by: str, text: str, prompt: str, *, order: str | None = None, model: str | None = None) -> DataFrame:
-        """(group_key, result): one call per group over its texts in order."""
+        """(group_key, result): one call per group over its texts in order.
+
+        A group over ``max_agg_group_tokens`` raises here, before any group is collected.
+        """
         self._gate("ai_agg")
+        guard_agg_batch(rows, text, group_by, config=self.config)
         inputs = agg_inputs(rows, group_by, text, prompt, order=order)
         return inputs.select("group_key", self._complete("ai_agg", "agg_input", "{{ input }}", None, model, "json").alias("result"))

@@ -28,3 +28,9 @@ def require_full_refresh_gate(function: str, materialized: str | None, full_refr
     """An incremental model must say what a full refresh means for it; False is an answer."""
     if materialized == "incremental" and full_refresh is None:
         raise AiCallRefused(f"{function}: an incremental model must set full_refresh")
+
+
+def require_reembed_allowed(function: str, rebuild: bool, config: EngineConfig) -> None:
+    """A stored table of embeddings is only rebuilt whole where ``allow_full_reembed`` says so."""
+    if function == "embed" and rebuild and not config.allow_full_reembed:
+        raise AiCallRefused("embed: a full refresh embeds every row again; set allow_full_reembed")

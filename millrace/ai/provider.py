@@ -24,7 +24,7 @@ class AiProvider(Protocol):
 
 
 class LocalProvider:
-    """A deterministic provider without a network: hashed word features and keyword answers."""
+    """A deterministic provider without a network: hashed word features, and answers by rules that SQL can say too."""
 
     structured = True
 
@@ -46,21 +46,22 @@ class LocalProvider:
 
     @staticmethod
     def _answer(prompt: str, schema: str | None) -> str:
-        lines = [line for line in prompt.splitlines() if line.strip()]
-        last = lines[-1] if lines else ""
+        """An answer from the whole prompt: it itself with its white space collapsed; by schema the allowed value it
+        holds most often (of a tie the first), its first number (0 if none), whether it asks, else itself."""
+        whole = re.sub(r"[\t\n\f\r ]+", " ", prompt).strip(" ")
         if schema is None:
-            return last[:120]
-        words = set(re.findall(r"\w+", last.lower()))
-        out: dict[str, Any] = {}
+            return whole
+        low, out = prompt.lower(), {}
         for name, spec in json.loads(schema).get("properties", {}).items():
-            kind = json_kind(spec)
-            if spec.get("enum"):
-                out[name] = max(spec["enum"], key=lambda v: (len(words & set(re.findall(r"[a-z]+", str(v).lower()))), -spec["enum"].index(v)))
+            kind, values = json_kind(spec), spec.get("enum")
+            if values:
+                counts = [low.count(str(v).lower()) for v in values]
+                out[name] = values[counts.index(max(counts))]
             elif kind in ("integer", "number"):
-                found = re.search(r"\d+", last)
+                found = re.search(r"[0-9]+", prompt)
                 out[name] = int(found.group(0)) if found else 0
             elif kind == "boolean":
-                out[name] = "?" in last
+                out[name] = "?" in prompt
             else:
-                out[name] = last[:60]
+                out[name] = whole
         return json.dumps(out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 from collections.abc import Callable, Mapping
+from types import CodeType
 from typing import Any
 
 from pyspark.sql import Column
@@ -53,6 +54,36 @@ def embedding_fn_fingerprint(model: str | None, dimension: int | None = None, ex
     return fingerprint({"model": model, "dimension": dimension, "extra": extra})
 
 
+def _named(code: CodeType) -> set[str]:
+    """The names that a function's code refers to, those of its inner functions included."""
+    names = set(code.co_names)
+    for inner in code.co_consts:
+        if isinstance(inner, CodeType):
+            names |= _named(inner)
+    return names
+
+
+def call_closure(*functions: Callable) -> list[Callable]:
+    """The functions of this package that the given ones reach by name, themselves included, in order of name."""
+    package = __name__.partition(".")[0]
+    found: dict[str, Callable] = {}
+    waiting = list(functions)
+    while waiting:
+        f = inspect.unwrap(waiting.pop())
+        key = f"{f.__module__}.{f.__qualname__}"
+        if key in found:
+            continue
+        found[key] = f
+        names, scope = _named(f.__code__), f.__globals__
+        owner = scope.get(f.__qualname__.rpartition(".")[0])
+        spaces = [owner, *[scope[n] for n in names if inspect.ismodule(scope.get(n)) and scope[n].__name__.startswith(package)]]
+        for name in names:
+            for one in (scope.get(name), *[getattr(space, name, None) for space in spaces if space is not None]):
+                if inspect.isfunction(one) and (one.__module__.startswith(package) or one.__module__ == f.__module__):
+                    waiting.append(one)
+    return [found[k] for k in sorted(found)]
+
+
 def logic_hash(*functions: Callable) -> str:
-    """SHA-256 over the source of the given functions: which revision of the code made a row. For audit only."""
-    return hashlib.sha256("\n".join(inspect.getsource(f) for f in functions).encode()).hexdigest()
+    """SHA-256 over the source of the given functions and all they call in this package: which revision of the code made a row."""
+    return hashlib.sha256("\n".join(inspect.getsource(f) for f in call_closure(*functions)).encode()).hexdigest()

@@ -40,3 +40,8 @@ def ordered(value: Column | str, order: Column | str) -> Column:
 def ordered_text(value: Column | str, separator: str, order: Column | str) -> Column:
     """Aggregate: the texts in order, joined; empty texts keep their separators, null ones are left out."""
     return F.array_join(F.filter(ordered(value, order), lambda v: v.isNotNull()), separator)
+
+
+def utc_now() -> Column:
+    """The moment of the query, in UTC, without a zone."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")

@@ -15,13 +15,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.plans.session import cut
-from millrace.plans.state import Pointer
+from millrace.plans.state import Versions
 
 DIGEST = ("d1", "d2", "n")
 TREE = "model_name string, node string, level int, d1 long, d2 long, n long"
-RECORDS = "model_name string, record_key string, state_hash string, leaf string"
+_SCHEMA = StructType([StructField(c, StringType()) for c in ("model_name", "record_key", "leaf", "state_hash")])
 
 
 def with_leaf(records: DataFrame, depth: int, group: str = "model_name", key: str = "record_key") -> DataFrame:
@@ -134,11 +135,10 @@ def saved_state(state: DataFrame, log: DataFrame) -> DataFrame:
 
 
 class MerkleStore:
-    """Published states under ``root``, with their tree; the file ``CURRENT`` names the version in force.
+    """Published states under ``root``, with their tree (see ``Versions``).
 
-    A version holds ``output`` (what its run made), ``tree``, ``manifest`` (which version holds each folder of
-    records) and ``records`` in folders by the first ``digits`` of the leaf, of which it holds only those that
-    its run changed. A run compares the tree of the current records with the saved one, and reads and writes
+    A version holds ``output`` (what its run made), ``tree`` and the records in folders by the first ``digits``
+    of the leaf, of which it holds only those that its run changed. A run compares the tree of the current records with the saved one, and reads and writes
     the saved records of the folders with leaves that differ, no others.
 
     The pointer moves last, by a rename. A run that dies before has published nothing, so the next one finds
@@ -149,32 +149,20 @@ class MerkleStore:
     def __init__(self, spark: SparkSession, root: str, *, depth: int = 4, digits: int = 2) -> None:
         if not 1 <= digits <= min(depth, 3):
             raise ValueError("digits must be at least 1 and no more than depth or 3")
-        self.spark, self.root = spark, root.rstrip("/")
-        self._pointer = Pointer(spark, self.root)
-        self.depth, self.digits = depth, digits
-        first = None if self._pointer.get() is None else self._read("manifest").first()
-        if first is not None:
-            self.depth, self.digits = first["depth"], len(first["folder"])
+        self.spark, self._versions = spark, Versions(spark, root)
+        settings = self._versions.manifest()[2]
+        self.depth, self.digits = settings.get("depth", depth), settings.get("digits", digits)
         #: Folders whose saved records the last run has read.
         self.folders_read: list[str] = []
 
-    def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._pointer.get()}/{part}")
-
     def read(self, part: str) -> DataFrame | None:
         """``output``, ``records`` or ``tree`` of the published version, None before the first."""
-        if self._pointer.get() is None:
+        at = self._versions.current()
+        if at is None:
             return None
-        return self._records(self._manifest(), None) if part == "records" else self._read(part)
-
-    def _manifest(self) -> dict[str, str]:
-        """Folder to version: at most ``16 ** digits`` entries."""
-        return {} if self._pointer.get() is None else {r["folder"]: r["version"] for r in self._read("manifest").collect()}
-
-    def _records(self, manifest: dict[str, str], folders: list[str] | None) -> DataFrame:
-        """The saved records of ``folders`` (None: of all)."""
-        paths = [f"{self.root}/{v}/records/folder={f}" for f, v in sorted(manifest.items()) if folders is None or f in folders]
-        return self.spark.read.schema(RECORDS).parquet(*paths) if paths else self.spark.createDataFrame([], RECORDS)
+        if part == "records":
+            return self._versions.rows(self._versions.manifest()[0], _SCHEMA)
+        return self.spark.read.parquet(f"{self._versions.base(at)}/{part}")
 
     def run(self, current: DataFrame, *, process: Callable[[DataFrame], DataFrame] = lambda changed: changed) -> DataFrame:
         """Process the records of ``current`` changed since the last published run and publish output and tree.
@@ -183,64 +171,43 @@ class MerkleStore:
         done that was not processed. Records that vanished stay in the state; a null current hash keeps the
         stored one (the leaves of such records are read again each time).
         """
-        manifest = self._manifest()
+        held = self._versions.manifest()[0]
         now = cut(_of_records(current, self.depth))
-        saved_tree = self.spark.createDataFrame([], TREE) if not manifest else self._read("tree")
+        saved_tree = self.read("tree") if held else self.spark.createDataFrame([], TREE)
         leaves = cut(changed_leaves(build_tree(now, self.depth), saved_tree, self.depth))
         # Names of folders, at most 16 ** digits.
         folders = sorted(r[0] for r in leaves.select(F.substring("leaf", 1, self.digits)).distinct().collect())
-        self.folders_read = [f for f in folders if f in manifest]
-        then = self._records(manifest, folders)
+        self.folders_read = [f for f in folders if f in held]
+        then = self._versions.rows(held, _SCHEMA, folders)
         output = process(_new_or_changed(now, then, leaves))
-        version = f"v-{uuid.uuid4().hex}"
-        base = f"{self.root}/{version}"
+        version = self._versions.new()
+        base = self._versions.base(version)
         output.write.parquet(f"{base}/output")
-        self._write_records(base, now, then, folders)
-        self._write_tree(base, manifest, saved_tree, folders)
-        rows = [(f, v, self.depth) for f, v in sorted((manifest | dict.fromkeys(folders, version)).items())]
-        self.spark.createDataFrame(rows, "folder string, version string, depth int").coalesce(1).write.parquet(f"{base}/manifest")
-        self._pointer.set(version)
+        self._write_records(version, now, then, folders)
+        self._write_tree(version, saved_tree, folders)
+        self._versions.publish(version, held | dict.fromkeys(folders, version), _SCHEMA, {"depth": self.depth, "digits": self.digits})
         return self.spark.read.parquet(f"{base}/output")
 
-    def _write_records(self, base: str, now: DataFrame, then: DataFrame, folders: list[str]) -> None:
+    def _write_records(self, version: str, now: DataFrame, then: DataFrame, folders: list[str]) -> None:
         """The changed folders' records as this run leaves them."""
         folder = F.substring("leaf", 1, self.digits)
-        (
+        merged = (
             now.filter(folder.isin(folders) if folders else F.lit(False))
             .withColumn("__now", F.lit(1))
             .unionByName(then.withColumn("__now", F.lit(0)))
             .groupBy("model_name", "record_key", "leaf")
             .agg(F.max_by("state_hash", F.when(F.col("state_hash").isNotNull(), F.col("__now"))).alias("state_hash"))
-            .withColumn("folder", folder)
-            .repartition("folder")
-            .write.partitionBy("folder")
-            .parquet(f"{base}/records")
         )
+        self._versions.write_rows(version, merged, folder)
 
-    def _write_tree(self, base: str, manifest: dict[str, str], saved_tree: DataFrame, folders: list[str]) -> None:
+    def _write_tree(self, version: str, saved_tree: DataFrame, folders: list[str]) -> None:
         """The saved tree with the leaves of the changed folders replaced."""
-        fresh = self._records(dict.fromkeys(folders, base.rpartition("/")[2]), None)
+        fresh = self._versions.rows(dict.fromkeys(folders, version), _SCHEMA)
         inside = F.substring("node", 1, self.digits).isin(folders) if folders else F.lit(False)
-        held = saved_tree.filter((F.col("level") == self.depth) & ~inside)
+        kept = saved_tree.filter((F.col("level") == self.depth) & ~inside)
         made = build_tree(fresh, self.depth).filter(F.col("level") == self.depth)
-        with_upper_levels(held.unionByName(made).drop("level"), self.depth).coalesce(1 if self.depth < 4 else 8).write.parquet(f"{base}/tree")
+        with_upper_levels(kept.unionByName(made).drop("level"), self.depth).write.parquet(f"{self._versions.base(version)}/tree")
 
     def drop_old(self) -> list[str]:
         """Remove what no reader of the published version needs; returns the versions that went whole."""
-        current, manifest, gone = self._pointer.get(), self._manifest(), []
-        files = self._pointer.files
-        for status in files.listStatus(self._pointer.path("")):
-            name = status.getPath().getName()
-            if not name.startswith("v-") or name == current:
-                continue
-            if name not in manifest.values():
-                files.delete(status.getPath(), True)
-                gone.append(name)
-                continue
-            for part in ("output", "tree", "manifest"):
-                files.delete(self._pointer.path(f"{name}/{part}"), True)
-            for folder in files.listStatus(self._pointer.path(f"{name}/records")):
-                key = folder.getPath().getName().removeprefix("folder=")
-                if folder.isDirectory() and manifest.get(key) != name:
-                    files.delete(folder.getPath(), True)
-        return gone
+        return self._versions.drop_old()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from millrace.functions.text import estimate_tokens
 from millrace.functions.vectors import cosine, embedding_dimension, json_cosine, vector_literal, vector_to_json
 from millrace.operators import checks
 from millrace.operators.aggregate import agg_inputs
-from millrace.operators.canary import canary_baseline, drifted, embedding_canary
-from millrace.operators.chunk import GROUP, chunk, oversized_chunks
+from millrace.operators.canary import canary_baseline, check_canary, drifted, embedding_canary
+from millrace.operators.chunk import chunk, oversized_chunks
 from millrace.operators.cost import batch_size, dev_sample, estimate_call_tokens, oversized_groups
 from millrace.operators.delta import delta, merge, version_guard
 from millrace.operators.evaluation import evaluate, nonconforming, ungrounded
@@ -73,14 +75,13 @@ placed AS (SELECT *, before // {step} AS k0 FROM run),
 copies AS (SELECT *, k0 AS k FROM placed {copies}),
 grouped AS (SELECT p, k, string_agg(id, ',' ORDER BY o NULLS LAST, id) AS source_rows, string_agg(t, chr(10) ORDER BY o NULLS LAST, id) AS chunk_text, count(*) AS n_source_rows FROM copies GROUP BY p, k),
 groups AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY p ORDER BY k) AS BIGINT) AS seq FROM grouped),
-h1 AS (SELECT p, k0, sha256(string_agg(coalesce(id, '') || ':' || t, '|' ORDER BY o NULLS LAST, id)) AS h FROM placed GROUP BY p, k0),
-h2 AS (SELECT p, k0 // {GROUP} AS g, sha256(string_agg(h, '|' ORDER BY k0)) AS h FROM h1 GROUP BY p, k0 // {GROUP}),
-h3 AS (SELECT p, sha256('{fingerprint}::' || string_agg(h, '|' ORDER BY g)) AS partition_hash FROM h2 GROUP BY p),
+hashes AS (SELECT p, sha256('{fingerprint}::' || string_agg(coalesce(id, '') || ':' || t, '|' ORDER BY o NULLS LAST, id)) AS partition_hash FROM u GROUP BY p),
 chunks AS (SELECT {name} AS chunk_id, groups.p AS partition_key, seq AS chunk_seq, source_rows, chunk_text, n_source_rows, CAST((len(chunk_text) + 3) // 4 AS BIGINT) AS token_estimate, ((len(chunk_text) + 3) // 4) > {target} AS exceeds_target, partition_hash
-FROM groups JOIN h3 ON groups.p IS NOT DISTINCT FROM h3.p)"""
+FROM groups JOIN hashes ON groups.p IS NOT DISTINCT FROM hashes.p)"""
 
 
-_SHOWN = "chunk_id, partition_key, chunk_seq, {rows} AS source_rows, md5(chunk_text) AS text_md5, n_source_rows, token_estimate, exceeds_target, partition_hash"
+_BARE = "chunk_id, partition_key, chunk_seq, {rows} AS source_rows, md5(chunk_text) AS text_md5, n_source_rows, token_estimate, exceeds_target"
+_SHOWN = _BARE + ", partition_hash"
 
 
 def _shown(chunks: DataFrame) -> DataFrame:
@@ -130,12 +131,13 @@ def chunk_labelled_overlap(spark: SparkSession, folder: str) -> DataFrame:
     "WITH "
     + _chunk_sql("SELECT DISTINCT sentence_id AS o, sentence_id AS id, coalesce(sentence_text, '') AS t FROM split_docs", 512, 64, _WHOLE, partitioned=False)
     + " SELECT "
-    + _SHOWN.format(rows="source_rows")
+    + _BARE.format(rows="source_rows")
     + " FROM chunks"
 )
 def chunk_unpartitioned(spark: SparkSession, folder: str) -> DataFrame:
     units = _stored_units(spark, folder).select("sentence_id", "sentence_text").distinct()
-    return _shown(chunk(units, "sentence_id", "sentence_id", "sentence_text", target_tokens=512, overlap_tokens=64))
+    # All units are one partition: the hash of any size, whose value SQL cannot say.
+    return _shown(chunk(units, "sentence_id", "sentence_id", "sentence_text", overlap_tokens=64, hashing="tree")).drop("partition_hash")
 
 
 @query(_CHUNKS + " SELECT chunk_id, token_estimate FROM chunks WHERE exceeds_target")
@@ -150,6 +152,36 @@ def chunk_lineage_exactly_once(spark: SparkSession, folder: str) -> DataFrame:
     return units.join(document_chunks(spark, folder).agg(F.sum("n_source_rows").alias("placed")))  # two one-row results
 
 
+_EDITED = "CASE WHEN document_id LIKE '%7' THEN replace(document_text, 'the', 'this') ELSE document_text END"
+
+
+@query(
+    "WITH docs AS (SELECT DISTINCT document_id, document_text FROM fixture_documents),"
+    + _SENTENCES.format(id="document_id", text="document_text", table="docs")
+    + f", docs2 AS (SELECT DISTINCT document_id, {_EDITED} AS document_text FROM fixture_documents WHERE document_id NOT LIKE '%3'),"
+    + _SENTENCES.format(id="document_id", text="document_text", table="docs2").replace("\ns AS", "\ns2 AS").replace("FROM s WHERE", "FROM s2 WHERE").replace("sentences AS", "sentences2 AS")
+    + """,
+old AS (SELECT document_id, string_agg(sentence_id || ':' || sentence_text, '|' ORDER BY sentence_index) AS h FROM sentences GROUP BY document_id),
+new AS (SELECT document_id, string_agg(sentence_id || ':' || sentence_text, '|' ORDER BY sentence_index) AS h FROM sentences2 GROUP BY document_id)
+SELECT n.document_id AS partition_key, (SELECT count(*) FROM sentences2 z WHERE z.document_id = n.document_id) AS units FROM new n WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.document_id = n.document_id AND old.h = n.h)"""
+)
+def chunk_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """A second run over edited documents: which partitions are packed again, and their units."""
+    edited = read_table(spark, folder, "fixture_documents").filter("document_id not like '%3'").select("document_id", F.expr(_EDITED).alias("document_text")).distinct()
+    again = chunk(split_sentences(edited, "document_id", "document_text"), **_DOC, target_tokens=128, stored=document_chunks(spark, folder))
+    return again.groupBy("partition_key").agg(F.sum("n_source_rows").alias("units"))
+
+
+@query("""
+WITH u0 AS (SELECT DISTINCT document_id AS p, sentence_index AS o, sentence_id AS id, coalesce(document_id, '') || ': ' || coalesce(sentence_text, '') AS t FROM split_docs),
+run AS (SELECT *, coalesce(sum((len(t) + 3) // 4) OVER (PARTITION BY p ORDER BY o NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u0)
+SELECT id AS unit_id, 1 + CAST(before >= 25 AND before % 25 < 15 AS INT) AS copies FROM run""")
+def chunk_overlap_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many chunks each unit stands: two where it opens a chunk within the overlap, else one."""
+    chunks = chunk(_stored_units(spark, folder), **_DOC, label_column="document_id", target_tokens=40, overlap_tokens=15)
+    return chunks.select("chunk_seq", F.posexplode("source_rows").alias("n", "unit_id")).groupBy("unit_id").agg(F.count("*").cast("int").alias("copies"))
+
+
 # Metadata and knowledge base
 
 _META = """, meta AS (SELECT DISTINCT document_id, title, citation_url FROM fixture_documents),
@@ -239,8 +271,9 @@ best AS (SELECT source_key, max(CASE WHEN isnan(c) THEN NULL ELSE round(c, 6) EN
 SELECT source_key, score FROM best ORDER BY score DESC NULLS LAST, source_key LIMIT 10""")
 def kb_search(spark: SparkSession, folder: str) -> DataFrame:
     kb = read_table(spark, folder, "kb_delta").filter("source_key is not null and embedding is not null")
-    scored = kb.select("source_key", F.round(cosine("embedding", vector_literal(_KB_QUERY)), 6).alias("score"))
-    return scored.groupBy("source_key").agg(F.max("score").alias("score")).orderBy(F.desc_nulls_last("score"), "source_key").limit(10)
+    # Versions of a row are ranked each by their best score, equal rows once.
+    best = kb.select("source_key", F.round(cosine("embedding", vector_literal(_KB_QUERY)), 6).alias("score")).groupBy("source_key").agg(F.max("score").alias("score"))
+    return best.orderBy(F.desc_nulls_last("score"), "source_key").limit(10)
 
 
 def _asked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -434,21 +467,39 @@ def canary_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", embedding_dimension("embedding").alias("dimension"), F.round(json_cosine("embedding", vector_to_json("embedding")), 6).alias("similarity"))
 
 
-@query("SELECT probe_id, CAST(s AS DOUBLE) AS similarity FROM (VALUES ('same', 1.0), ('scaled', 1.0), ('turned', 0.714286)) AS t(probe_id, s)")
+_TURNED = (0.9999, 0.999, 0.99, 0.95)
+
+
+@query("SELECT vec_id, c AS expected_similarity, c AS observed_similarity FROM embeddings, (VALUES (0.9999::DOUBLE), (0.999), (0.99), (0.95)) AS t(c)")
 def canary_calibration(spark: SparkSession, folder: str) -> DataFrame:
-    base = vector_literal([1, 2, 3])
-    rows = spark.createDataFrame([("same", [1.0, 2.0, 3.0]), ("scaled", [2.0, 4.0, 6.0]), ("turned", [3.0, 2.0, 1.0])], "probe_id string, v array<double>")
-    return rows.select("probe_id", F.round(cosine("v", base), 6).alias("similarity"))
+    """Each vector against itself turned to a known cosine: ``c v + sqrt(1 - c^2) w``, w being v with its pairs of entries swapped and one negated."""
+    e = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    turned = F.expr("transform(sequence(0, size(v) - 1), i -> c * v[i] + sqrt(1 - c * c) * if(i % 2 = 0, -v[i + 1], v[i - 1]))")
+    rows = e.withColumn("c", F.explode(F.array(*[F.lit(c) for c in _TURNED]))).select("vec_id", "v", F.col("c").alias("expected_similarity"), turned.alias("w"))
+    return rows.select("vec_id", "expected_similarity", F.round(json_cosine("v", vector_to_json("w")), 6).alias("observed_similarity"))
 
 
-@query()
+@query("""
+SELECT CAST(vec_id AS VARCHAR) AS probe_id, 'spark' AS adapter, 'fp' AS embedding_fn_fingerprint, 0.95::DOUBLE AS observed_similarity FROM embeddings WHERE label = 3""")
 def canary_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """The probes of the local provider against their own baseline, all shown (a threshold over 1)."""
-    live = embedding_canary(spark, AI)
-    return drifted(live, canary_baseline(live), threshold=1.1).withColumn("observed_similarity", F.round("observed_similarity", 6))
+    """Drift at the default threshold: vectors of one label are turned to a cosine of 0.95 and those of another to 0.9999 of their baseline."""
+    e = read_table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    c = F.when(F.col("label") == 3, 0.95).when(F.col("label") == 4, 0.9999).otherwise(1.0)
+    turned = F.expr("transform(sequence(0, size(v) - 1), i -> c * v[i] + sqrt(1 - c * c) * if(i % 2 = 0, -v[i + 1], v[i - 1]))")
+    named = e.withColumn("c", c).select(F.col("vec_id").cast("string").alias("probe_id"), F.lit("spark").alias("adapter"), F.lit("fp").alias("embedding_fn_fingerprint"), F.lit("m").alias("model_version"), turned.alias("embedding"), "v")
+    blessed = canary_baseline(named.withColumn("embedding", F.col("v")))
+    return drifted(named, blessed).withColumn("observed_similarity", F.round("observed_similarity", 6))
 
 
-# Model calls of the local provider: deterministic, but not a matter of SQL
+@query("SELECT 0::BIGINT AS failures, 'canary_drift' AS name UNION ALL SELECT 0, 'canary_dimension' UNION ALL SELECT 0, 'canary_logic_hash'")
+def canary_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks of a build of the local provider's probes under the settings."""
+    ai = AiFunctions(replace(LOCAL, embedding_canary_vector_dimension=64))
+    live = embedding_canary(spark, ai)
+    return spark.createDataFrame([(r.failures, r.name) for r in check_canary(live, canary_baseline(live), ai)], "failures long, name string")
+
+
+# Model calls of the local provider, whose answers SQL can say
 
 
 @query()
@@ -456,25 +507,35 @@ def embed_local(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "split_docs").select("sentence_id", AI.embed("sentence_text").alias("embedding"))
 
 
-@query()
+_ASKED = f"{P.sql_literal(PROMPT.split('{{ input }}')[0])} || sentence_text"
+_TIMES = {v: f"((len(lower({_ASKED})) - len(replace(lower({_ASKED}), '{v}', ''))) // {len(v)})" for v in P.schema_enum(SCHEMA)}
+_MOST = "greatest(" + ", ".join(_TIMES.values()) + ")"
+_KIND = f"CASE WHEN sentence_text IS NULL THEN NULL {' '.join(f'WHEN {n} = {_MOST} THEN {P.sql_literal(v)}' for v, n in _TIMES.items())} END"
+_COLLAPSED = r"trim(regexp_replace({c}, '[\t\n\f\r ]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT sentence_id, {_KIND} AS kind FROM split_docs")
 def classify_local(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "split_docs").select("sentence_id", AI.classify("sentence_text", PROMPT, SCHEMA).alias("kind"))
 
 
-@query()
+@query(f"SELECT sentence_id, {_KIND} AS kind, md5({_COLLAPSED.format(c=_ASKED)}) AS quote_md5, CASE WHEN sentence_text IS NOT NULL THEN TRY_CAST(coalesce(nullif(regexp_extract({_ASKED}, '[0-9]+'), ''), '0') AS BIGINT) END AS size FROM split_docs")
 def extract_local(spark: SparkSession, folder: str) -> DataFrame:
     out = read_table(spark, folder, "split_docs").select("sentence_id", AI.extract("sentence_text", PROMPT, SCHEMA).alias("r"))
-    return out.select("sentence_id", P.field_of("r", "kind").alias("kind"), P.field_of("r", "size", "bigint", strict=False).alias("size"))
+    return out.select("sentence_id", P.field_of("r", "kind").alias("kind"), F.md5(P.field_of("r", "quote")).alias("quote_md5"), P.field_of("r", "size", "bigint", strict=False).alias("size"))
 
 
-@query()
+@query(f"SELECT sentence_id, md5({_COLLAPSED.format(c=_ASKED)}) AS answer_md5 FROM split_docs")
 def generate_local(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "split_docs").select("sentence_id", P.text_of(AI.generate("sentence_text", PROMPT)).alias("answer"))
+    return read_table(spark, folder, "split_docs").select("sentence_id", F.md5(P.text_of(AI.generate("sentence_text", PROMPT))).alias("answer_md5"))
 
 
-@query()
+@query(f"""
+WITH g AS (SELECT partition_key AS group_key, 'Sum up:' || chr(10) || chr(10) || coalesce(string_agg(chunk_text, chr(10) ORDER BY chunk_seq NULLS LAST, chunk_text), '') AS asked FROM chunk_overlap GROUP BY 1)
+SELECT group_key, md5({_COLLAPSED.format(c='asked')}) AS result_md5 FROM g""")
 def ai_agg_local(spark: SparkSession, folder: str) -> DataFrame:
-    return AI.ai_agg(read_table(spark, folder, "chunk_overlap"), "partition_key", "chunk_text", "Sum up:", order="chunk_seq")
+    out = AI.ai_agg(read_table(spark, folder, "chunk_overlap"), "partition_key", "chunk_text", "Sum up:", order="chunk_seq")
+    return out.select("group_key", F.md5("result").alias("result_md5"))
 
 
 @query()

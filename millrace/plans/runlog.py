@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 import warnings
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import utc_now
 from millrace.operators.cost import batch_size
 from millrace.plans.config import EngineConfig
 
@@ -42,7 +42,7 @@ class RunLog:
 
     def _append(self, **row) -> None:
         plain = ", ".join(f"{n} {'double' if t.startswith('decimal') else t}" for n, t in FIELDS)
-        frame = self.spark.createDataFrame([[row.get(n) for n, _ in FIELDS]], plain)
+        frame = self.spark.createDataFrame([[row.get(n) for n, _ in FIELDS]], plain).withColumn("run_at", utc_now())
         frame.select(*[F.col(n).cast(t) for n, t in FIELDS]).coalesce(1).write.mode("append").parquet(self.path)
 
     def started(self, function: str, model_name: str | None = None, batch: DataFrame | None = None, text: str | None = None, *, node_id: str | None = None, config: EngineConfig = EngineConfig(), prompt: str | None = None, **call) -> None:
@@ -51,11 +51,11 @@ class RunLog:
             warnings.warn(f"{function} of {model_name} is logged without its prompt: tokens are understated", stacklevel=2)
         n, tokens = batch_size(batch, text, config=config, prompt=prompt, **call).first() if batch is not None else (None, None)
         cost = None if tokens is None or config.cost_per_1k_tokens is None else tokens / 1000.0 * config.cost_per_1k_tokens
-        self._append(invocation_id=self.invocation_id, model_name=model_name, function_name=function, row_count=n, est_tokens=None if tokens is None else float(tokens), est_cost=cost, run_at=datetime.now(), event="started", node_id=node_id)
+        self._append(invocation_id=self.invocation_id, model_name=model_name, function_name=function, row_count=n, est_tokens=None if tokens is None else float(tokens), est_cost=cost, event="started", node_id=node_id)
 
     def completed(self, function: str, model_name: str | None = None, *, node_id: str | None = None) -> None:
         """Log success; never called for a run that failed."""
-        self._append(invocation_id=self.invocation_id, model_name=model_name, function_name=function, run_at=datetime.now(), event="completed", node_id=node_id)
+        self._append(invocation_id=self.invocation_id, model_name=model_name, function_name=function, event="completed", node_id=node_id)
 
 
 def never_completed(log: DataFrame) -> DataFrame:

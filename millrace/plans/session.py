@@ -16,6 +16,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     A folder of this machine serves local sessions alone: on a cluster without the setting this raises.
     """
     context = spark.sparkContext
+    # Checkpoints go when nothing refers to them any more, unless the session says otherwise.
+    settings = context._jsc.sc().conf()
+    if not settings.contains("spark.cleaner.referenceTracking.cleanCheckpoints"):
+        settings.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)

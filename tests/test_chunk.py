@@ -1,9 +1,13 @@
 import random
+from hashlib import sha256
 
 import pytest
 
+import millrace.operators.chunk as chunk_module
+from millrace.functions.hashing import chunk_fn_fingerprint
 from millrace.operators.chunk import chunk, oversized_chunks
 from millrace.operators.split import split_sentences
+from millrace.plans.config import EngineConfig
 
 UNITS = "unit_id string, turn int, pk string, body string, speaker string, chunk_id string"
 KW = {"id_column": "unit_id", "order_column": "turn", "text_column": "body"}
@@ -113,3 +117,42 @@ def test_sentences(spark):
     docs = spark.createDataFrame([("d", "Section 3.2 is ready. Ship it."), ("e", "...Wait!? Really"), ("f", None), ("g", ""), ("h", " \n "), (None, "x.")], "sentence_id string, body string")
     rows = {(r.document_id, r.sentence_index): r.sentence_text for r in split_sentences(docs, "sentence_id", "body").collect()}
     assert rows == {("d", 1): "Section 3.", ("d", 2): "2 is ready.", ("d", 3): "Ship it.", ("e", 1): "Wait!?", ("e", 2): "Really", ("h", 1): "\n", (None, 1): "x."}
+
+
+def test_partition_hashes(spark):
+    rows = [("b", 2, "p", "two", "s"), ("a", 1, "p", "one", "s"), ("c", None, "p", None, "s"), ("d", 1, None, "x", "s")]
+    kw = {**KW, "partition_column": "pk"}
+    fp = chunk_fn_fingerprint(target_tokens=512, overlap_tokens=0, join_separator="\n", id_column="unit_id", order_column="turn", text_column="body", partition_column="pk")
+    got = {r.partition_key: r.partition_hash for r in chunk(units(spark, rows), **kw).collect()}
+    assert got == {"p": sha256(f"{fp}::a:one|b:two|c:".encode()).hexdigest(), None: sha256(f"{fp}::d:x".encode()).hexdigest()}
+    with pytest.raises(ValueError, match="joined_max_chars"):
+        chunk(units(spark, rows), **kw, joined_max_chars=5)
+    with pytest.raises(ValueError):
+        chunk(units(spark, rows), **kw, hashing="other")
+
+    def tree(rows):
+        return {r.partition_key: r.partition_hash for r in chunk(units(spark, rows), **kw, hashing="tree").collect()}
+
+    base = tree(rows)
+    assert base == tree(rows[::-1]) and len(base["p"]) == 64
+    edits = [("b", 2, "p", "two!", "s"), ("b2", 2, "p", "two", "s"), ("b", 3, "p", "two", "s"), ("b", None, "p", "two", "s")]
+    seen = {tree([edit, *rows[1:]])["p"] for edit in edits} | {tree(rows[1:])["p"], tree([rows[0], *rows])["p"], base["p"]}
+    assert len(seen) == 7
+    sized = chunk(units(spark, rows), **kw, config=EngineConfig(chunk_target_tokens=1)).collect()
+    assert len(sized) == 4
+
+
+def test_clean_partitions_are_not_packed(spark):
+    kw = {**KW, "partition_column": "pk", "target_tokens": 40}
+    stored = chunk(units(spark, edges()), **kw)
+    again = chunk(units(spark, edges()), **kw, stored=stored)
+    assert again.count() == 0
+    seen = []
+    ranged = chunk_module._ranged
+    chunk_module._ranged = lambda u: seen.append(u.count()) or ranged(u)
+    try:
+        edited = [(u, t, p, ("z" + x[1:]) if u == "e4" else x, s) for u, t, p, x, s in edges()]
+        assert chunk(units(spark, edited), **kw, stored=stored).count() == 2
+    finally:
+        chunk_module._ranged = ranged
+    assert seen == [5]

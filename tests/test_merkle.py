@@ -103,7 +103,7 @@ def test_a_run_reads_and_writes_the_changed_folders_alone(spark, tmp_path):
     assert [tuple(r) for r in again.run(frame(spark, edited)).collect()] == [("m", "k7", "z")]
     assert len(again.folders_read) == 1
     version = (root / "CURRENT").read_text()
-    assert [f.name for f in (root / version / "records").glob("folder=*")] == [f"folder={again.folders_read[0]}"]
+    assert [f.name for f in (root / version / "rows").glob("__part=*")] == [f"__part={again.folders_read[0]}"]
     state = {r["record_key"]: r["state_hash"] for r in again.read("records").collect()}
     assert state == {k: h for _, k, h in edited}
     whole = build_tree(with_leaf(frame(spark, edited), 3), 3)
@@ -124,7 +124,7 @@ def test_a_crash_at_any_step_publishes_nothing(spark, tmp_path, monkeypatch, ste
         raise RuntimeError("stop")
 
     with monkeypatch.context() as broken:
-        broken.setattr(store._pointer if step == "pointer" else store, "set" if step == "pointer" else step, stop)
+        broken.setattr(store._versions.pointer if step == "pointer" else store, "set" if step == "pointer" else step, stop)
         with pytest.raises(RuntimeError):
             store.run(later)
     assert store.read("records").count() == 2

@@ -1,5 +1,7 @@
 import json
 import warnings
+from dataclasses import replace
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,8 @@ from millrace.ai.functions import AiFunctions, register_provider
 from millrace.ai.gates import AiCallRefused
 from millrace.ai.provider import LocalProvider
 from millrace.functions import prompts as P
-from millrace.operators.canary import PROBES, canary_baseline, drifted, embedding_canary, model_delta
+from millrace.functions.hashing import call_closure, logic_hash
+from millrace.operators.canary import PROBES, canary_baseline, check_canary, drifted, embedding_canary, model_delta, of_other_dimension, stale_logic
 from millrace.operators.cost import BatchCeilingExceeded, dev_sample, estimate_call_tokens, guard_agg_batch, guard_batch
 from millrace.plans.config import EngineConfig
 from millrace.plans.runlog import RunLog, never_completed
@@ -33,7 +36,7 @@ def test_model_calls(spark):
     rows = {r.id: r for r in out.select("*", P.field_of("x", "n", "bigint").alias("n"), P.field_of("x", "odd", "boolean").alias("odd")).collect()}
     assert (rows["1"].k, rows["2"].k, rows["3"].k) == ("bug", "praise", None)
     assert (rows["1"].n, rows["1"].odd, rows["2"].odd) == (42, True, False)
-    assert len(rows["1"].e) == 64 and rows["3"].e is None and rows["2"].g == "much praise"
+    assert len(rows["1"].e) == 64 and rows["3"].e is None and rows["2"].g == "Pick a kind. Text: much praise"
 
     class Plain(LocalProvider):  # local, so that it is pickled by value
         structured = False
@@ -44,7 +47,9 @@ def test_model_calls(spark):
     register_provider("plain", Plain())
     assert texts(spark).limit(1).select(AiFunctions(ON, provider="plain").classify("body", PROMPT, SCHEMA)).first()[0] == "bug"
     groups = spark.createDataFrame([("g", 2, "second"), ("g", 1, "first"), (None, 1, "alone")], "g string, o int, t string")
-    assert {r.group_key: r.result for r in ai.ai_agg(groups, "g", "t", "Sum up:", order="o").collect()} == {"g": "second", None: "alone"}
+    assert {r.group_key: r.result for r in ai.ai_agg(groups, "g", "t", "Sum up:", order="o").collect()} == {"g": "Sum up: first second", None: "Sum up: alone"}
+    with pytest.raises(BatchCeilingExceeded, match="g \\(4\\)"):
+        AiFunctions(replace(ON, max_agg_group_tokens=3)).ai_agg(groups, "g", "t", "Sum up:")
 
 
 def test_gates():
@@ -172,7 +177,7 @@ def test_partition_replacement_views_and_tables(spark, tmp_path):
 
 
 def test_stream_merge(spark, tmp_path):
-    incoming, table = str(tmp_path / "in"), StateTable(spark, str(tmp_path / "state"), "kb")
+    incoming, table = str(tmp_path / "in"), StateTable(spark, str(tmp_path / "state"), "kb", "k")
     schema = "k string, h string, at int"
 
     def deliver(rows):
@@ -208,3 +213,74 @@ def test_readers_and_session(spark, tmp_path):
     assert relation(spark, str(tmp_path / "p")).count() == relation(spark, "seeded").count() == relation(spark, rows).count() == 2
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_the_whole_prompt_is_read(spark):
+    ai = AiFunctions(ON)
+    text = "first line\nsecond line\n" + "x " * 500 + "\nzz praise praise bug 7"
+    rows = spark.createDataFrame([(text,)], "body string")
+    got = rows.select(ai.generate("body", "{{ input }}").alias("g"), ai.classify("body", "{{ input }}", SCHEMA).alias("k"), ai.extract("body", "{{ input }}", SCHEMA).alias("x")).first()
+    assert got.g == " ".join(text.split()) and got.k == "praise" and json.loads(got.x)["n"] == 7
+
+
+def test_a_changed_row_rewrites_its_bucket_alone(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path), "t", "k", buckets=8)
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "k string, v int")
+    assert table.write(rows).count() == 200
+    first = table.version()
+    one = spark.createDataFrame([("k7", -1)], rows.schema)
+    assert table.merge(one).filter("v = -1").count() == 1 and table.read().count() == 200
+    assert len(table.touched) == 1
+    assert [p.name for p in (tmp_path / "t" / table.version() / "rows").glob("__part=*")] == [f"__part={table.touched[0]}"]
+    assert StateTable(spark, str(tmp_path), "t", "k", buckets=2).merge(spark.createDataFrame([("new", 5)], rows.schema)).count() == 201
+    assert table.drop_old() != [first] and table.read().count() == 201  # the first version still holds most buckets
+    nothing = table.version()
+    assert table.merge(one.limit(0)).count() == 201 and table.version() == nothing
+    plain = StateTable(spark, str(tmp_path), "p")
+    assert plain.read() is None and plain.write(rows.limit(0)).count() == 0 and plain.merge(rows).count() == 200 and plain.drop_old()
+
+
+def test_settings_are_used(spark, tmp_path):
+    config = replace(ON, run_log_path=str(tmp_path / "log"), ai_sample_rows=2, embedding_model="e")
+    registry = P.PromptRegistry()
+    registry.add("sort", "v1", PROMPT, SCHEMA)
+    runner = Runner(spark, str(tmp_path / "state"), config, prompts=registry, keep_old=False)
+    rows = [(k, "p", "1", "a bug") for k in "abcd"]
+    kinds = lambda batch, prompt, schema: batch.select("k", AiFunctions(ON).classify("body", prompt, schema).alias("kind"))
+    model = Model("kinds", source(rows), kinds, function="classify", text="body", meta={"ai_prompt": {"name": "sort", "version": "v1"}})
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always", UserWarning)
+        assert [r.kind for r in runner.run(model).collect()] == ["bug", "bug"] and runner.ran["kinds"] == 2
+    assert not any("prompt" in str(w.message) for w in caught)
+    started = runner.log.read().filter("event = 'started'").first()
+    assert (started.row_count, int(started.est_tokens)) == (2, 2 * (2 + -(-(len(PROMPT) - 11 + len(SCHEMA)) // 4)))
+    assert abs(started.run_at - datetime.now(UTC).replace(tzinfo=None)) < timedelta(minutes=5)
+    with pytest.raises(ValueError, match="no prompts"):
+        Runner(spark, str(tmp_path / "other"), config).run(model)
+    runner.run(model)
+    assert len(list((tmp_path / "state" / "kinds").glob("v-*"))) == 1
+    grouped = Model("agg", source(rows), lambda b: b, function="ai_agg", text="body", group_by="part", call={"prompt": "x"})
+    with pytest.raises(BatchCeilingExceeded, match="p"):
+        Runner(spark, str(tmp_path / "state"), replace(config, max_agg_group_tokens=3)).run(grouped)
+    embed = Model("emb", source(rows), lambda b: b, "incremental", "k", "h", full_refresh=True, function="embed", text="body")
+    runner.run(embed)
+    with pytest.raises(AiCallRefused, match="allow_full_reembed"):
+        runner.run(embed)
+    Runner(spark, str(tmp_path / "state"), replace(config, allow_full_reembed=True)).run(embed)
+
+
+def test_canary_settings_and_logic_hash(spark):
+    ai = AiFunctions(replace(ON, embedding_canary_vector_dimension=64))
+    live = embedding_canary(spark, ai)
+    blessed = canary_baseline(live)
+    assert [(c.name, c.failures, c.passed) for c in check_canary(live, blessed, ai)] == [("canary_drift", 0, True), ("canary_dimension", 0, True), ("canary_logic_hash", 0, True)]
+    strict = AiFunctions(replace(ON, embedding_canary_severity="error"))
+    moved = blessed.withColumn("baseline_vector", F.lit(json.dumps([1.0] * 64)))
+    assert [c.passed for c in check_canary(live, moved, strict)] == [False, False, True]
+    assert of_other_dimension(live, config=ON).count() == 4 and of_other_dimension(live, config=replace(ON, embedding_canary_vector_dimension=None)).count() == 0
+    assert drifted(live, moved, config=replace(ON, embedding_canary_similarity_threshold=-1.0)).count() == 0
+    odd = live.withColumn("embedding_logic_hash", F.when(F.col("probe_id") == "brief", None).when(F.col("probe_id") == "letters", "AB").otherwise(F.col("embedding_logic_hash")))
+    assert {r.probe_id for r in stale_logic(odd, ai).collect()} == {"brief", "letters"}
+    names = {f.__qualname__ for f in call_closure(AiFunctions.embed)}
+    assert {"AiFunctions.embed", "AiFunctions._gate", "require_enabled", "ship"} <= names
+    assert logic_hash(AiFunctions.embed) != logic_hash(AiFunctions.ai_agg) and len(logic_hash(AiFunctions.embed)) == 64
