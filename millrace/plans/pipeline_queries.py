@@ -11,7 +11,7 @@ from millrace.ai.functions import AiFunctions
 from millrace.functions import prompts as P
 from millrace.functions.hashing import chunk_fn_fingerprint, content_hash
 from millrace.functions.text import estimate_tokens
-from millrace.functions.vectors import cosine, embedding_dimension, json_cosine, vector_literal, vector_to_json
+from millrace.functions.vectors import embedding_dimension, json_cosine, vector_to_json
 from millrace.operators import checks
 from millrace.operators.aggregate import agg_inputs
 from millrace.operators.canary import canary_baseline, check_canary, drifted, embedding_canary
@@ -266,14 +266,12 @@ def vector_search_ties(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH kb AS (SELECT DISTINCT source_key, account_key, embedding FROM kb_delta WHERE source_key IS NOT NULL AND embedding IS NOT NULL),
-best AS (SELECT source_key, max(CASE WHEN isnan(c) THEN NULL ELSE round(c, 6) END) AS score FROM (SELECT source_key, {_COS.format(q=str(_KB_QUERY) + "::DOUBLE[]")} AS c FROM kb) GROUP BY source_key)
-SELECT source_key, score FROM best ORDER BY score DESC NULLS LAST, source_key LIMIT 10""")
+WITH kb AS (SELECT DISTINCT source_key, account_key, embedding FROM kb_delta WHERE source_key IS NOT NULL AND embedding IS NOT NULL AND account_key IS NOT NULL)
+SELECT source_key, account_key, CASE WHEN NOT isnan(c) THEN round(c, 6) END AS score FROM (SELECT source_key, account_key, {_COS.format(q=str(_KB_QUERY) + "::DOUBLE[]")} AS c FROM kb) ORDER BY score DESC NULLS LAST, source_key LIMIT 10""")
 def kb_search(spark: SparkSession, folder: str) -> DataFrame:
-    kb = read_table(spark, folder, "kb_delta").filter("source_key is not null and embedding is not null")
-    # Versions of a row are ranked each by their best score, equal rows once.
-    best = kb.select("source_key", F.round(cosine("embedding", vector_literal(_KB_QUERY)), 6).alias("score")).groupBy("source_key").agg(F.max("score").alias("score"))
-    return best.orderBy(F.desc_nulls_last("score"), "source_key").limit(10)
+    """The rows of the knowledge base most similar to a vector, equal rows once."""
+    kb = read_table(spark, folder, "kb_delta").select("source_key", "account_key", "embedding").distinct()
+    return vector_search(kb, "embedding", _KB_QUERY, top_k=10, id_column="source_key", select=["account_key"], digits=6, where="source_key is not null and embedding is not null and account_key is not null")
 
 
 def _asked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -289,11 +287,34 @@ def search_every_query(spark: SparkSession, folder: str) -> DataFrame:
     return search_all(rows, asked, "embedding", "vec_id").select("query_id", "id", "rank")
 
 
+_MIXED = "CASE WHEN vec_id % 7 = 3 THEN embedding[1:48] ELSE embedding END"
+
+
+@query(f"""
+WITH m AS (SELECT vec_id, CAST({_MIXED} AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, list_cosine_similarity(q.v, r.v) AS score FROM m q JOIN m r ON len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def search_mixed_dimensions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every query against all rows, where a seventh of the vectors has another dimension."""
+    rows = read_table(spark, folder, "embeddings").withColumn("embedding", F.expr("case when vec_id % 7 = 3 then slice(embedding, 1, 48) else embedding end"))
+    return search_all(rows, rows.filter("vec_id % 50 = 0"), "embedding", "vec_id").select("query_id", "id", "rank")
+
+
+@query("SELECT true AS enough, count(*) > 0 AS indexed FROM embeddings")
+def cell_index_is_enough(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the index finds nine tenths of the exact matches and holds every row."""
+    rows, asked = _asked(spark, folder)
+    index = CellIndex.build(rows, "embedding", "vec_id")
+    found = recall(index.search(asked, "embedding", "vec_id"), search_all(rows, asked, "embedding", "vec_id")).select((F.col("recall") >= 0.9).alias("enough"))
+    held = index.cells.agg((F.count("*") == rows.count()).alias("indexed"))
+    return found.join(held)  # two one-row results
+
+
 @query()
 def cell_index_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the index against the exact search, over all queries."""
     rows, asked = _asked(spark, folder)
-    index = CellIndex(rows, "embedding", "vec_id")
+    index = CellIndex.build(rows, "embedding", "vec_id")
     return recall(index.search(asked, "embedding", "vec_id"), search_all(rows, asked, "embedding", "vec_id"))
 
 

@@ -105,9 +105,19 @@ def test_search_in_blocks_and_index(spark):
     m = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(q, int(i)) for q in range(0, 900, 50) for i in np.lexsort((np.arange(900), -(m @ m[q])))[:5]}
     assert {(r.query_id, r.id) for r in exact.collect()} == want
-    index = CellIndex(rows, "v", "id", cells=8, fit_rows=200)
-    assert index.cells.count() == 901
-    assert recall(index.search(asked, "v", "id", top_k=5, probes=3), exact).first()["recall"] >= 0.9
+    index = CellIndex.build(rows, "v", "id", fit_rows=400, attributes=["query_id"], name="own", part_rows=20)
+    assert index.cells.count() == 901 and 1 <= index.probes < len(index.centroids) == 25 and index.parts > 1
+    assert recall(index.search(asked, "v", "id", top_k=5), exact).first()["recall"] >= 0.9
+    again = CellIndex(spark, index.path)
+    assert (again.name, again.attributes, again.distance, again.probes) == ("own", ["query_id"], "cosine", index.probes)
+    assert recall(again.search(asked, "v", "id", top_k=5, probes=25), exact).first()["recall"] == 1.0
+    assert again.search(asked, "v", "id", where="query_id = 'none'").count() == 0
+    dots = CellIndex.build(rows.filter("id < 900"), "v", "id", cells=2, distance="dot").search(asked, "v", "id", top_k=1, probes=2)
+    x = np.array(x)
+    assert {(r.query_id, r.id) for r in dots.collect()} == {(q, int(np.argmax(x @ x[q]))) for q in range(0, 900, 50)}
+    assert CellIndex.build(rows.limit(0), "v", "id").search(asked, "v", "id").count() == 0
+    with pytest.raises(ValueError):
+        CellIndex.build(rows, "v", "id", distance="other")
     assert search_all(rows.limit(0), asked, "v", "id").count() == 0 and search_all(rows, asked.limit(0), "v", "id").count() == 0
 
 

@@ -19,5 +19,5 @@ def test_each_dimension_is_searched_by_itself(sides):
 
 def test_the_index_takes_vectors_of_several_dimensions(sides):
     rows, queries = sides
-    out = CellIndex(rows, "v", "id", cells=2).search(queries, "v", "id", top_k=2, probes=2).collect()
+    out = CellIndex.build(rows, "v", "id", cells=2).search(queries, "v", "id", top_k=2, probes=2).collect()
     assert {(r.query_id, r.id) for r in out} == WANT
