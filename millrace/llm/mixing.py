@@ -21,6 +21,10 @@ def source_key(column: Column | str) -> Column:
     return F.nullif(F.lower(F.regexp_replace(c, r"[\p{IsWhite_Space}\p{Pd}\p{Pc}./+&:]+", "")), F.lit(""))
 
 
+#: The most rows of settings: they and one total for each are what is broadcast or seen by the driver.
+MOST_SETTINGS = 100_000
+
+
 @dataclass(frozen=True)
 class Quota:
     mix: str
@@ -101,6 +105,8 @@ def sample_mix(
     )
     docs = cut(docs)
     per_source = docs.groupBy("source").agg(F.sum("__n").alias("available"))
+    if (n := t.limit(MOST_SETTINGS + 1).count()) > MOST_SETTINGS:
+        raise ValueError(f"targets has over {n - 1} rows: it is a table of settings, which is broadcast")
     settings = t.join(per_source, "source", "left").select("mix_name", "source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available")).collect()
     quotas = plan_quotas([(r[0], r[1], r[2], r[3], r[4]) for r in settings], total)
     quota = documents.sparkSession.createDataFrame(
@@ -184,7 +190,9 @@ def _factors(asked: DataFrame, uniform: bool, steps: int = 400) -> DataFrame:
     """(mix_name, source, __f): the factor by which weights become expected copies of the wanted tokens.
 
     With equal weights it is wanted over available. Otherwise the expected tokens are summed for ``steps``
-    factors at once, in steps of under 4 %, and the factor between the two nearest is interpolated.
+    factors at once, in steps of under 4 %, and the factor between the two nearest is interpolated. For these
+    sums weights are kept to 3 digits, and the steps reach a factor of about 2e6; where weights differ by more,
+    the expected copies add up to less than is wanted and the draw by rank fills the rest.
     """
     group = ["mix_name", "source"]
     if uniform:

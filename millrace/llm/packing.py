@@ -61,7 +61,11 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return runs, made
 
 
-def ranked(items: DataFrame, group: list[str], order: list[str], salts: int = 64) -> DataFrame:
+#: Rows that one task of a ranking sorts, about.
+TASK_ROWS = 250_000
+
+
+def ranked(items: DataFrame, group: list[str], order: list[str], salts: int) -> DataFrame:
     """``items`` with ``rank`` 0.. within ``group``, without ever sorting a hot group in one task.
 
     Rows are spread over ``salts`` parts by a hash of ``order``, ranked within a part, and moved by the sizes
@@ -94,11 +98,14 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     spark = sizes.sparkSession
     base = sizes.filter(F.col(size) > 0).select(F.col(item).alias("__item"), F.col(size).cast("long").alias("__size"))
     rest = base.select("__item", (F.col("__size") / capacity).cast("long").alias("__whole"), F.pmod("__size", F.lit(capacity)).cast("int").alias("size"))
-    # At most ``capacity`` - 1 rows: the only thing the driver sees of the data.
-    histogram = {r["size"]: r["count"] for r in rest.filter("size > 0").groupBy("size").count().collect()}
+    # At most ``capacity`` rows: the only thing the driver sees of the data.
+    counted = rest.groupBy("size").agg(F.count("*").alias("n"), F.sum("__whole").alias("w")).collect()
+    histogram = {r["size"]: r["n"] for r in counted if r["size"] > 0}
     runs, made = plan_runs(histogram, capacity)
     slots = _runs_table(spark, runs)
-    small = ranked(rest.filter("size > 0"), ["size"], ["__item"])
+    # Parts and series grow with the commonest size and the whole pieces, so that none is sorted in one task.
+    small = ranked(rest.filter("size > 0"), ["size"], ["__item"], -(-max(histogram.values(), default=1) // TASK_ROWS))
+    series = max(1, -(-sum(r["w"] for r in counted) // TASK_ROWS))
     packed = small.join(slots, (small["size"] == slots["size"]) & F.col("rank").between(F.col("first_rank"), F.col("last_rank"))).select(
         "__item",
         (F.col("__whole") + 1).alias("piece_no"),
@@ -106,9 +113,9 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
         (F.col("first_container") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("per_container"))).cast("long").alias("container_id"),
     )
     large = rest.filter("__whole > 0").withColumn("piece_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__whole"))))
-    whole = ranked(large.withColumn("__all", F.pmod(F.xxhash64("__item"), F.lit(64))), ["__all"], ["__item", "piece_no"], salts=8)
-    # Containers of whole pieces are numbered after the planned ones, 64 interleaved series.
-    whole = whole.select("__item", "piece_no", F.lit(capacity).cast("long").alias("n_tokens"), (F.lit(made) + F.col("rank") * 64 + F.col("__all")).cast("long").alias("container_id"))
+    whole = ranked(large.withColumn("__all", F.pmod(F.xxhash64("__item"), F.lit(series))), ["__all"], ["__item", "piece_no"], 1)
+    # Containers of whole pieces are numbered after the planned ones, in interleaved series.
+    whole = whole.select("__item", "piece_no", F.lit(capacity).cast("long").alias("n_tokens"), (F.lit(made) + F.col("rank") * series + F.col("__all")).cast("long").alias("container_id"))
     return packed.unionByName(whole).withColumnRenamed("__item", item)
 
 

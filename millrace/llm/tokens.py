@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,21 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _shipped(path: str) -> str:
+    """Where this worker holds the file that the driver has shipped, else ``path`` itself."""
+    try:
+        own = SparkFiles.get(os.path.basename(path))
+    except Exception:  # noqa: BLE001 - outside a session there are no files
+        return path
+    return own if os.path.exists(own) else path
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):
     """The tokenizer of a rank file, loaded once per worker."""
     import tiktoken
 
-    with open(path, "rb") as file:
+    with open(_shipped(path), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -41,4 +52,5 @@ def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
 def sized(df: DataFrame, text: str, out: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
     """Rows with a non-blank ``text`` and its size; a text of white space alone is blank."""
     ship(df.sparkSession)
+    df.sparkSession.sparkContext.addFile(path)  # workers need not have the file
     return df.filter(F.col(text).rlike(r"[^\p{IsWhite_Space}]")).withColumn(out, token_count(text, path))
