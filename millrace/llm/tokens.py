@@ -46,7 +46,8 @@ def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
         tokens = encoding(path)
         return pd.Series([None if t is None else len(tokens.encode_ordinary(t)) for t in texts], dtype="Int64")
 
-    return count(F.col(text) if isinstance(text, str) else text)
+    # So marked, a filter on the size does not make Spark count every text a second time.
+    return count.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def sized(df: DataFrame, text: str, out: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
