@@ -2,7 +2,8 @@
 
 A block is a paragraph: lines between blank ones. Most counts are taken on the skeleton of a block, in which each
 run of letters is one ``a`` and each run of digits one ``9``: it is a third as long as the text and shows the
-layout and the marks of any language alike. Nothing here loops over characters, words or lines.
+layout and the marks of any language alike. Where a line of running text meets a list, rows or addresses without a
+blank line, a block ends too. Nothing here loops over characters, words or lines.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ STATISTICS = ("n", "lines", "words", "letters", "digits", "blanks", "ended", "co
 #: Features that are one count over another.
 RATIOS = {
     **{k: (k, "lines") for k in ("ended", "bullets", "numbered", "leaders", "urls", "pipes", "tabs", "gaps", "assigned", "keyed", "closed", "indents", "signs")},
-    **{f"{k}_word": (k, "words") for k in ("commas", "semicolons", "slashes", "quotes", "bangs", "calls", "glued", "vowelless", "mixed", "latin", "inner", "odd", "common")},
+    **{f"{k}_word": (k, "words") for k in ("commas", "semicolons", "slashes", "quotes", "bangs", "calls", "glued", "vowelless", "clusters", "mixed", "latin", "inner", "odd", "common")},
     **{f"{k}_char": (k, "n") for k in ("cells", "tags", "rules", "ends")},
     **{f"{k}_token": (k, "tokens") for k in ("tight", "numbers", "dots", "marks")},
     "line_length": ("n", "lines"),
@@ -148,39 +149,14 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     raw = np.minimum(raw, _TOP)
     kind = kinds[raw]
-    # Lines, blank lines and blocks.
     breaks = np.flatnonzero(kind == BREAK)
     starts = np.concatenate(([0], breaks[:-1] + 1))
+    lines = len(starts)
     filled = np.add.reduceat((kind < BREAK).view(np.uint8), starts, dtype=np.int64) > 0
     sizes = np.array([len(t) + 1 for t in texts])
     line_text = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    opens = filled & np.concatenate(([True], ~filled[:-1] | (line_text[1:] != line_text[:-1])))
-    total = int(opens.sum())
-    out: dict[str, np.ndarray] = {}
-    if not total:
-        return np.zeros(0, int), {k: np.zeros(0, int) for k in _NAMES}
-    block_of_line = np.where(filled, np.cumsum(opens) - 1, total)
-    owner_text = line_text[opens]
-    width = np.diff(np.concatenate((starts, [len(raw)])))
-    owner = np.repeat(block_of_line, width).astype(np.int32)
-
-    def tally(mask_or_places: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        places = np.flatnonzero(mask_or_places) if mask_or_places.dtype == bool else mask_or_places
-        return np.bincount(owners[places], minlength=total + 1)[:total]
-
-    # Each block ends with its last visible character.
-    visible = np.flatnonzero(kind < BREAK)
-    last_visible = np.zeros(total, np.int64)
-    last_visible[owner[visible]] = visible
-    first_char = starts[opens]
-    out["n"] = last_visible - first_char + 1
-    out["lines"] = np.bincount(block_of_line, minlength=total + 1)[:total]
     letter = (kind >= SPACED) & (kind <= FOURS)
     number = kind == NUMBER
-    out["letters"], out["digits"] = tally(letter, owner), tally(number, owner)
-    white = kind >= BREAK
-    inside = np.arange(len(raw)) <= np.append(last_visible, -1)[owner] if total else white
-    out["blanks"] = tally(white & inside, owner)
 
     def begins(mask: np.ndarray) -> np.ndarray:
         return mask & np.concatenate(([True], ~mask[:-1]))
@@ -190,7 +166,6 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     at = np.flatnonzero(keep)
     s = raw[at]
     s = np.where(letter[at], _A, np.where(number[at], _9, s)).astype(np.uint32)
-    own = owner[at]
     line_at = np.searchsorted(starts, at, side="right") - 1
     nl = np.uint32(_NL)
     nxt, nxt2, nxt3, nxt4 = (np.concatenate((s[k:], np.full(k, nl))) for k in (1, 2, 3, 4))
@@ -202,12 +177,80 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     next_blank = np.concatenate((blank[1:], [False]))
     next_a, next_9 = nxt == _A, nxt == _9
     prev_a, prev_9 = prv == _A, prv == _9
-    word = kind[at]
+    ends = _one_of(s, _ENDS)
+    # Lines: their first and last visible element, and what stands there.
+    shown = np.flatnonzero(~gap)
+    first, last, alnum = (np.full(lines, -1, np.int64) for _ in range(3))
+    last[line_at[shown]] = shown
+    first[line_at[shown[::-1]]] = shown[::-1]
+    plain = np.flatnonzero(is_a | is_9)
+    alnum[line_at[plain]] = plain
+    final_end = np.full(lines, -1, np.int64)
+    marks_at = np.flatnonzero(ends)
+    final_end[line_at[marks_at]] = marks_at
+    here = np.flatnonzero(filled)
+    f, z = first[here], last[here]
+    ended = final_end[here] > alnum[here]
+    opener = _one_of(nxt, "\"'«“¿¡「『《(_[") | next_a
+    lead = s[f]
+    spaced_on = next_blank[f] & ~gap[np.minimum(f + 2, len(s) - 1)]
+    bullet = _one_of(lead, "-*•・+◦▪–☐☑☒") & (spaced_on | opener[f] & (lead != ord("-")))
+    box = (lead == ord("[")) & ((nxt[f] == ord("]")) | (nxt2[f] == ord("]")) & ((nxt[f] == _A) | (nxt[f] == 32)))
+    point = _one_of(nxt[f], ".):")
+    simple = (lead == _9) & point & _is_blank(nxt2[f]) & (nxt3[f] != _9)
+    framed = (lead == ord("(")) & (nxt[f] == _9) & (nxt2[f] == ord(")"))
+    double = (lead == _9) & (nxt[f] == ord(".")) & (nxt2[f] == _9) & _is_blank(nxt3[f]) & ((nxt4[f] == _A) | (nxt4[f] == ord("_")))
+    numbered = simple | framed | double
+    # A block ends at a blank line, and where running text meets a list, rows or addresses.
+    words_to = np.concatenate(([0], np.cumsum(begins(letter))))
+    line_words = np.diff(words_to[np.concatenate((starts, [len(raw)]))])[here]
+    pipes_to = np.concatenate(([0], np.cumsum((s == ord("|")) | (s == 9))))
+    gaps_to = np.cumsum(gap)
+    url = (lead == _A) & (nxt[f] == ord(":")) & (nxt2[f] == ord("/")) & (nxt3[f] == ord("/")) & (gaps_to[z] == gaps_to[f])
+    style = np.select([url, bullet | box | numbered, pipes_to[z + 1] - pipes_to[f] > 1], [3, 1, 2], 0)
+    running = (style == 0) & ended & (line_words >= 6)
+    meets = np.zeros(lines, bool)
+    if len(here) > 1:
+        turn = (here[1:] == here[:-1] + 1) & (style[1:] != style[:-1]) & (running[1:] | running[:-1])
+        meets[here[1:][turn]] = True
+    first_line = filled & np.concatenate(([True], ~filled[:-1] | (line_text[1:] != line_text[:-1])))
+    opens = first_line | meets
+    total = int(opens.sum())
+    out: dict[str, np.ndarray] = {}
+    if not total:
+        return np.zeros(0, int), {k: np.zeros(0, int) for k in _NAMES}
+    block_of_line = np.where(filled, np.cumsum(opens) - 1, total)
+    owner_text = line_text[opens]
+    width = np.diff(np.concatenate((starts, [len(raw)])))
+    owner = np.repeat(block_of_line, width).astype(np.int32)
+    own, of = owner[at], block_of_line[here]
+
+    def tally(mask_or_places: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        places = np.flatnonzero(mask_or_places) if mask_or_places.dtype == bool else mask_or_places
+        return np.bincount(owners[places], minlength=total + 1)[:total]
+
+    def lines_with(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(of[mask], minlength=total + 1)[:total]
+
+    # Each block ends with its last visible character; the line end before a turn belongs to what follows it.
+    visible = np.flatnonzero(kind < BREAK)
+    last_visible = np.zeros(total, np.int64)
+    last_visible[owner[visible]] = visible
+    joined_on = (meets & ~first_line)[opens].astype(np.int64)
+    out["n"] = last_visible - starts[opens] + 1 + joined_on
+    out["lines"] = np.bincount(block_of_line, minlength=total + 1)[:total]
+    out["letters"], out["digits"] = tally(letter, owner), tally(number, owner)
+    inside = np.arange(len(raw)) <= np.append(last_visible, -1)[owner]
+    tails = np.zeros(total, np.int64)
+    if joined_on.any():
+        # Blanks between the last visible character before a turn and its line end.
+        turns = np.flatnonzero(joined_on)
+        tails[turns] = starts[opens][turns] - 1 - (last_visible[turns - 1] + 1)
+        out["n"] = out["n"] + tails
+    out["blanks"] = tally((kind >= BREAK) & inside, owner) + joined_on + tails
     runs = tally(begins(kind == SPACED), owner)
     joins = tally(prev_a & next_a & _one_of(s, "'’-"), own)
     out["words"] = np.maximum(runs - joins, 0) + sum(-(-tally(kind == k, owner) // each) for k, each, _ in _UNSPACED)
-    del word
-    ends = _one_of(s, _ENDS)
     next_ends = np.concatenate((ends[1:], [False]))
     out["pipes"], out["tabs"] = tally(s == ord("|"), own), tally(s == 9, own)
     out["commas"] = tally(_one_of(s, ",，、"), own)
@@ -235,41 +278,12 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     length = np.diff(np.concatenate((where, [len(s)])))
     long = (length >= 8) & ~is_a[where] & ~is_9[where] & ~gap[where]
     out["rules"] = np.bincount(own[where[long]], weights=length[long], minlength=total + 1)[:total].astype(np.int64)
-    # Lines: their first and last visible element, and what stands there.
-    shown = np.flatnonzero(~gap)
-    lines = len(starts)
-    first, last, alnum = (np.full(lines, -1, np.int64) for _ in range(3))
-    last[line_at[shown]] = shown
-    first[line_at[shown[::-1]]] = shown[::-1]
-    plain = np.flatnonzero(is_a | is_9)
-    alnum[line_at[plain]] = plain
-    final_end = np.full(lines, -1, np.int64)
-    marks_at = np.flatnonzero(ends)
-    final_end[line_at[marks_at]] = marks_at
-    here = np.flatnonzero(filled)
-    f, z, of = first[here], last[here], block_of_line[here]
-
-    def lines_with(mask: np.ndarray) -> np.ndarray:
-        return np.bincount(of[mask], minlength=total + 1)[:total]
-
-    out["ended"] = lines_with(final_end[here] > alnum[here])
-    opener = _one_of(nxt, "\"'«“¿¡「『《(_[") | next_a
-    lead = s[f]
-    spaced_on = next_blank[f] & ~gap[np.minimum(f + 2, len(s) - 1)]
-    bullet = _one_of(lead, "-*•・+◦▪–☐☑☒") & (spaced_on | opener[f] & (lead != ord("-")))
-    box = (lead == ord("[")) & ((nxt[f] == ord("]")) | (nxt2[f] == ord("]")) & ((nxt[f] == _A) | (nxt[f] == 32)))
-    out["bullets"] = lines_with(bullet | box)
-    point = _one_of(nxt[f], ".):")
-    simple = (lead == _9) & point & _is_blank(nxt2[f]) & (nxt3[f] != _9)
-    framed = (lead == ord("(")) & (nxt[f] == _9) & (nxt2[f] == ord(")"))
-    double = (lead == _9) & (nxt[f] == ord(".")) & (nxt2[f] == _9) & _is_blank(nxt3[f]) & ((nxt4[f] == _A) | (nxt4[f] == ord("_")))
-    out["numbered"] = lines_with(simple | framed | double)
     dotted = np.flatnonzero((s == ord(".")) & (nxt == ord(".")) & (nxt2 == ord(".")))
     has_dots = np.zeros(lines, bool)
     has_dots[line_at[dotted]] = True
     out["leaders"] = lines_with(has_dots[here] & (s[z] == _9))
-    gaps_to = np.cumsum(gap)
-    out["urls"] = lines_with((lead == _A) & (nxt[f] == ord(":")) & (nxt2[f] == ord("/")) & (nxt3[f] == ord("/")) & (gaps_to[z] == gaps_to[f]))
+    out["urls"] = lines_with(url)
+    out["ended"], out["bullets"], out["numbered"] = lines_with(ended), lines_with(bullet | box), lines_with(numbered)
     out["closed"] = lines_with(_one_of(s[z], ";{}>\\(["))
     out["signs"] = lines_with(_one_of(lead, "%#/@.\\$}<{&"))
     begin = starts[here]
@@ -302,6 +316,10 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         soft = np.add.reduceat((~hard[lower[raw[places]]]).view(np.uint8), word_first, dtype=np.int64)
         long_enough = np.diff(np.concatenate((word_first, [len(places)]))) >= 3
         out["vowelless"] = tally(word_at[(soft == 0) & long_enough], owner)
+        consonant = hard[lower[raw[places]]]
+        turn = np.flatnonzero(np.concatenate(([True], (consonant[1:] != consonant[:-1]) | new[1:])))
+        run = np.diff(np.concatenate((turn, [len(places)])))
+        out["clusters"] = tally(places[turn[consonant[turn] & (run >= 5)]], owner)
         # Parts: what stands between end marks and line ends; equal words make equal parts.
         marks = np.sort(np.concatenate((at[marks_at], breaks)))
         part = np.searchsorted(marks, word_at)
@@ -311,7 +329,7 @@ def count_blocks(texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         out["distinct_parts"] = _distinct(word_owner[part_first], parts, total + 1)[:total]
     else:
         hashes, word_at, word_owner = np.zeros(0, np.uint64), places, places
-        out |= {k: np.zeros(total, int) for k in ("vowelless", "parts", "distinct_parts")}
+        out |= {k: np.zeros(total, int) for k in ("vowelless", "clusters", "parts", "distinct_parts")}
     known, single, double_ = _common()
     out["terms"] = tally(word_at, owner)
     out["distinct_terms"] = _distinct(word_owner, hashes, total + 1)[:total]

@@ -7,12 +7,15 @@ from pathlib import Path
 from millrace.llm.quality import Rule, learn
 
 
-def written(rules: list[Rule]) -> str:
-    """The rules as Python source."""
-    lines = ['"""Rules of text quality, in their order: written by ``python -m millrace.llm.quality_learn``, not by hand."""', "", "RULES = ["]
-    for rule in rules:
-        conditions = ", ".join(f'("{f}", "{">" if up else "<="}", {v!r})' for f, up, v in rule.conditions)
-        lines.append(f'    ("{rule.kind}", [{conditions}]),')
+def written(lists: list[list[Rule]]) -> str:
+    """The rule lists as Python source."""
+    lines = ['"""Rule lists of text quality: written by ``python -m millrace.llm.quality_learn``, not by hand."""', "", "RULES = ["]
+    for rules in lists:
+        lines.append("    [")
+        for rule in rules:
+            conditions = ", ".join(f'("{f}", "{">" if up else "<="}", {v!r})' for f, up, v in rule.conditions)
+            lines.append(f'        ("{rule.kind}", [{conditions}]),')
+        lines.append("    ],")
     return "\n".join([*lines, "]", ""])
 
 

@@ -10,7 +10,7 @@ from millrace.llm.sentence_seeds import COMMA, COUNTED, FILES, GERMAN_MONTHS, LA
 # Short noun phrases by language, as they stand in lists and cells.
 PHRASES = {
     "en": ["garden gate", "Notes on the river", "Boat and harbour", "winter coat", "Old bridge manual", "tea: green", "lamp oil", "Bread and butter", "Train ticket guide (12)", "market day"],
-    "de": ["Gartentor", "Brotpreis", "Wintermantel / Hut", "Fahrplan", "Lampe: alt", "Brücke"],
+    "de": ["Herbststurm", "Landschlüssel", "Rechtschrift", "Gartentor", "Brotpreis", "Wintermantel / Hut", "Fahrplan", "Lampe: alt", "Brücke"],
     "fr": ["porte du jardin", "prix du pain", "manteau d'hiver", "lampe / huile", "vieux pont"],
     "es": ["puerta del jardín", "precio del pan", "abrigo", "lámpara / aceite", "puente viejo"],
     "pt": ["portão do jardim", "preço do pão", "casaco", "lâmpada: velha", "ponte velha"],
@@ -25,6 +25,8 @@ PHRASES = {
     "zh": ["花园大门", "面包价格", "旧桥 / 河", "灯油"],
     "th": ["ประตูสวน", "ราคาขนมปัง", "สะพาน", "ตะเกียง / น้ำมัน"],
 }
+# Further sentences, with long runs of consonants.
+FURTHER = {"de": ["Die Herbststürme am Landschlösschen kamen mit Angstschrei und Wirtschaftskrise.", "Das Rechtschreibbuch und der Kirschschnaps liegen beim Haupteingangsschlüssel.", "Der Entschluss zur Wahlschlacht fiel am Nachmittagsspaziergang."]}
 # Words of page menus, of advertising, and of programs in several languages.
 MENU = ["Overview", "Products", "Pricing", "Blog", "Careers", "Register", "Subscribe", "Privacy policy", "Terms of use", "Sitemap", "Account", "Basket", "Previous", "Settings", "Read more", "About us", "Imprint", "Downloads", "English", "Follow us"]
 SHOUTS = ["Order today", "Limited offer", "Half price", "Free gift", "Call us", "Only this week", "You have won", "Save big", "Cheap watches", "Work from home", "Lose weight fast", "Get rich", "Click to claim", "Hot deals", "Act fast", "Money back"]
@@ -107,7 +109,7 @@ class Maker:
         return self.ident() if x < 0.75 else self.phrase(lang)
 
     def sentence(self, lang: str) -> str:
-        s = self.r.choice(SEEDS[lang])
+        s = self.r.choice(SEEDS[lang] + FURTHER.get(lang, []) * 3)
         if lang not in UNSPACED:
             rate = self.r.choice([0.2, 0.6, 0.9, 1.0])
             s = " ".join((self.made_up(w) if self.r.random() < 0.7 else self._word_of(lang)) if w.isalpha() and w.islower() and len(w) > 3 and self.r.random() < rate else w for w in s.split(" "))
@@ -125,11 +127,11 @@ class Maker:
         return s
 
     def prose(self, lang: str) -> str:
-        glue = "" if lang in ("zh", "ja") else " "
+        glue = "" if lang in ("zh", "ja") else self.r.choice([" ", " ", " ", " ", "  "])
         some = [self.sentence(lang) for _ in range(self.r.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30, 120]))]
         if lang not in UNSPACED and self.r.random() < 0.08:
             # Documentation and licences: quoted and marked words, references, capitals, indented lines.
-            words = " ".join(some).split(" ")
+            words = [w for s in some for w in [*s.split(" ")[:-1], s.split(" ")[-1] + ("" if glue == " " else " ")]]
             for k in range(len(words)):
                 if self.r.random() < 0.12:
                     words[k] = self.r.choice(["`{}`", '"{}"', "{}()", "({})", "'{}'", "<{}>", "*{}*", "{}/or"]).format(self.r.choice([words[k].strip(".,"), self.ident()]))
@@ -172,8 +174,10 @@ class Maker:
         return self.r.choice([text.upper(), f"# {self.item(lang)}\n{text}", f"{'#' * self.r.randint(1, 3)} {self.item(lang)}", f"# {self.item(lang)}", f"{self.r.choice(['Best', 'Regards', 'Thanks'])},\n{self.r.choice(NAMES)}", "Hello,\n" + text + "\nThanks,\n" + self.r.choice(NAMES), "\n".join(some), " ".join(s.lower().rstrip(".。।") for s in some)])
 
     def list_(self, lang: str) -> str:
-        n, form = self.r.randint(2, 24), self.r.choice([*range(12), 6, 6, 5])
-        items = [self.item(lang) for _ in range(n)]
+        n, form = self.r.choice([2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 40, 80, 160]), self.r.choice([*range(12), 6, 6, 5])
+        # Items of a long list often come from a few phrases.
+        pool = [self.item(lang) for _ in range(self.r.choice([6, 10, 16, n]))] if n > 6 else []
+        items = [self.r.choice(pool) if pool else self.item(lang) for _ in range(n)]
         if self.r.random() < 0.06:
             return "\n".join(self.r.choice([str.capitalize, str.lower])(self.word_of(lang)) for _ in range(self.r.randint(5, 40)))
         if form in (0, 1):
@@ -189,7 +193,7 @@ class Maker:
         if form == 5:
             return "\n".join(items)
         if form == 6:
-            return self.r.choice(["; ", ", ", ", "]).join(self.item(lang) for _ in range(self.r.randint(5, 60)))
+            return self.r.choice(["; ", ", ", ", "]).join(self.r.choice(pool) if pool else self.item(lang) for _ in range(max(n, 5)))
         if form == 7:
             return "\n".join(f"{k // 4 + 1}.{k % 4 + 1} {i} {'.' * self.r.randint(4, 30)} {3 * k + 2}" for k, i in enumerate(items))
         if form == 8:
@@ -202,7 +206,7 @@ class Maker:
         return "\n".join(mark + self.sentence(lang) for _ in range(min(n, 8)))
 
     def table(self, lang: str) -> str:
-        cols, n, form = self.r.randint(3, 7), self.r.randint(2, 16), self.r.randint(0, 8)
+        cols, n, form = self.r.randint(3, 7), self.r.choice([2, 3, 4, 5, 6, 8, 10, 12, 16, 30, 60]), self.r.choice([*range(9), 7])
         head = [self.phrase(lang) for _ in range(cols)]
         rows = [head] + [[self.cell(lang) for _ in head] for _ in range(n)]
         if form == 0:
@@ -222,7 +226,9 @@ class Maker:
         if form == 5:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
         if form == 7:
-            body = "\n".join("  " + " & ".join(c.replace("_", r"\_") for c in r) + r" \\" for r in rows)
+            indent, rule = self.r.choice(["  ", "", "    "]), self.r.choice(["", "", "\\hline\n", "\\midrule\n"])
+            lines = [indent + " & ".join(c.replace("_", r"\_") for c in r) + r" \\" for r in rows]
+            body = lines[0] + "\n" + rule + "\n".join(lines[1:])
             return "\\begin{tabular}{" + "l" * cols + "}\n" + body + "\n\\end{tabular}" if self.r.random() < 0.7 else body
         names = [self.phrase(lang) for _ in range(self.r.randint(2, 4))]
         if form == 8:
@@ -252,7 +258,7 @@ class Maker:
 
     def code(self) -> str:
         """A piece of a program, a style sheet, a configuration, markup or a session."""
-        n, form, out = self.r.choice([1, 1, 2, 3, 4, 6, 9]), self.r.randint(0, 15), []
+        n, form, out = self.r.choice([1, 1, 2, 3, 4, 6, 9]), self.r.choice([*range(17), 14]), []
         remark = lambda mark: [f"{mark} {self.sentence('en')}"] if self.r.random() < 0.3 else []
         if form == 0:
             out += [f"import {self.noun()}", f"from {self.noun()}.{self.noun()} import {self.noun()}, {self.ident()}"][: self.r.randint(0, 2)]
@@ -300,16 +306,27 @@ class Maker:
             case = self.r.choice([str.upper, str.lower])
             for _ in range(self.r.choice([1, 1, 2, 4])):
                 a, b = self.noun()[0], self.noun()[-1]
-                out += [f"{case('select')} {a}.{self.noun()}, {b}.{self.noun()}, {case('count')}(*) {case('from')} {self.noun()} {a} {case('join')} {self.noun()} {b} {case('on')} {a}.id = {b}.{self.noun()}_id {case('where')} {self.expr()} > {self.r.randint(0, 900)} {case('order by')} {self.r.randint(1, 4)};"]
+                parts = [f"{case('select')} {self.r.choice(['*', f'{a}.{self.noun()}, {b}.{self.noun()}', case('count') + f'(*), {a}.id'])}", f"{case('from')} {self.noun()} {a}"]
+                parts += [f"{self.r.choice([case('join'), case('left join')])} {self.noun()} {b} {case('on')} {a}.{self.r.choice(['id', 'uid', self.noun() + '_id'])} = {b}.id" for _ in range(self.r.randint(0, 2))]
+                parts += [f"{case('where')} {a}.{self.noun()} {self.r.choice(['>', '=', '<>', case('like')])} {self.r.choice([str(self.r.randint(0, 900)), chr(39) + self.noun() + chr(39)])}"][: self.r.randint(0, 1)]
+                parts += [f"{case('group by')} {b}.{self.noun()}", f"{case('order by')} {self.r.randint(1, 4)} {case('desc')}", f"{case('limit')} {self.r.randint(1, 90)}"][self.r.randint(0, 3) :]
+                out += [self.r.choice([" ", " ", "\n"]).join(parts) + self.r.choice([";", ""])]
         elif form == 15:
             host = lambda: ".".join(str(self.r.randint(1, 254)) for _ in range(4))
             out = [f'{host()} - - [{self.r.randint(1, 28)}/Oct/{self.r.randint(1995, 2024)}:{self.r.randint(10, 23)}:{self.r.randint(10, 59)}:{self.r.randint(10, 59)} +0000] "{self.r.choice(["GET", "POST"])} /{self.noun()}/{self.noun()} HTTP/1.1" {self.r.choice([200, 404, 301])} {self.r.randint(1, 90000)}' for _ in range(n)]
+        elif form == 16:
+
+            def nested(deep: int) -> str:
+                one = lambda: self.r.choice([f'"{self.noun()}"', f'"{self.r.choice("^~")}{self.r.randint(0, 9)}.{self.r.randint(0, 9)}"', str(self.r.randint(0, 900)), "true", "null", nested(deep + 1) if deep < 2 else "[]"])
+                return "{" + ", ".join(f'"{self.noun()}": {one()}' for _ in range(self.r.randint(1, 5))) + "}"
+
+            out = [nested(0) for _ in range(self.r.choice([1, 1, 1, 3]))]
         else:
             out = [f"Host: {self.noun()}" if self.r.random() < 0.05 else f"{self.noun()}{self.r.choice(['++', '--', ' <- ', ' := ', ' => ', ' |> '])}{self.expr()}{self.r.choice([';', '', ' end', ' |'])}" for _ in range(n + 2)]
         return "\n".join(out)
 
     def junk(self, lang: str) -> str:
-        n, form = self.r.randint(3, 20), self.r.choice([*range(17), 14, 14, 3, 11, 12, *[16] * 14])
+        n, form = self.r.randint(3, 20), self.r.choice([*range(17), 14, 14, 3, *[11] * 6, 12, 8, 9, *[16] * 24])
         if form == 16:
             return self.code()
         if form == 0:

@@ -15,7 +15,7 @@ from millrace.llm.quality_seeds import labelled
 
 @pytest.fixture(scope="module")
 def rules(spark):
-    return Q.rule_list()
+    return Q.rule_lists()
 
 
 PROSE = "The river was high after the storm, so nobody could cross it. We waited at the old mill until the rain stopped. Then the boat came back for us."
@@ -28,12 +28,12 @@ def judged(texts, rules):
     """The kinds of single blocks."""
     owner, counts = C.count_blocks(texts)
     assert list(owner) == list(range(len(texts)))
-    return Q.apply_rules(rules, np.column_stack([C.figure(counts, f) for f in Q.FEATURES]))
+    return Q.apply_lists(rules, np.column_stack([C.figure(counts, f) for f in Q.FEATURES]))
 
 
 def test_held_out_accuracy(rules):
     x, y = Q.table_of(labelled(3000, 4242))
-    got = Q.apply_rules(rules, x)
+    got = Q.apply_lists(rules, x)
     right = {k: float((got[y == k] == k).mean()) for k in ("prose", *Q.KINDS)}
     assert all(v > 0.93 for v in right.values()), right
 
@@ -68,7 +68,7 @@ def test_counts_against_plain_python():
     pieces = ["the ", "Old", " bridge", "\n", ". ", "12", "-3.5", "\t", "  ", "| ", "桥", "水很", "ประตู", "é", "!", "\n- ", "\n1. ", "x_y", " = ", ": ", "“q”", ",", "; "]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(300)]
     owner, counts = C.count_blocks(texts)
-    at = 0
+    apart = 0
     for k, text in enumerate(texts):
         want, held = [], []
         for line in [*text.split("\n"), ""]:
@@ -77,17 +77,36 @@ def test_counts_against_plain_python():
             elif held:
                 want.append("\n".join(held).rstrip())
                 held = []
-        for block in want:
-            assert owner[at] == k and counts["n"][at] == len(block) and counts["lines"][at] == block.count("\n") + 1
-            assert counts["letters"][at] == sum(unicodedata.category(c)[0] in "LM" for c in block)
-            assert counts["digits"][at] == sum(unicodedata.category(c)[0] == "N" for c in block)
-            assert counts["blanks"][at] == sum(c.isspace() for c in block)
-            terms = [m.group(0).lower() for m in regex.finditer(r"[\p{L}\p{M}]+", block)]
-            assert counts["terms"][at] == len(terms) and counts["distinct_terms"][at] == len(set(terms))
-            assert counts["tokens"][at] == len(block.split())
-            assert counts["pipes"][at] == block.count("|") and counts["commas"][at] == block.count(",")
-            at += 1
-    assert at == len(owner)
+        mine = owner == k
+        got = {name: counts[name][mine] for name in counts}
+        terms = [[m.group(0).lower() for m in regex.finditer(r"[\p{L}\p{M}]+", block)] for block in want]
+        plain = {
+            "n": [len(b) for b in want],
+            "lines": [b.count("\n") + 1 for b in want],
+            "letters": [sum(unicodedata.category(c)[0] in "LM" for c in b) for b in want],
+            "digits": [sum(unicodedata.category(c)[0] == "N" for c in b) for b in want],
+            "blanks": [sum(c.isspace() for c in b) for b in want],
+            "terms": [len(t) for t in terms],
+            "tokens": [len(b.split()) for b in want],
+            "pipes": [b.count("|") for b in want],
+            "commas": [b.count(",") for b in want],
+        }
+        for name, values in plain.items():
+            assert got[name].sum() == sum(values), (name, text)
+        if len(got["n"]) == len(want):
+            apart += 1
+            assert all(list(got[name]) == values for name, values in plain.items())
+            assert list(got["distinct_terms"]) == [len(set(t)) for t in terms]
+    assert apart > 200
+
+
+def test_a_block_ends_where_running_text_meets_a_list():
+    prose, rows = "The old bridge was closed after the storm.", "- lamp oil\n- rope\n- tea"
+    text = f"{prose}\n{rows}\n{prose}  \n| a | b |\n| c | d |\n{prose}"
+    owner, counts = C.count_blocks([text, f"- one\n{rows}", f"{prose}\n{prose}"])
+    assert list(owner) == [0, 0, 0, 0, 0, 1, 2]
+    assert counts["n"][:5].sum() == len(text) and list(counts["lines"]) == [1, 3, 1, 2, 1, 4, 2]
+    assert counts["blanks"][:5].sum() == sum(c.isspace() for c in text)
 
 
 def test_figures_of_scripts_without_blanks(spark, rules):
@@ -114,7 +133,18 @@ def test_long_texts_are_counted_in_parts_that_change_nothing(spark, rules, monke
 def test_the_rules_file_is_what_learning_writes(rules):
     namespace = {}
     exec(written(rules), namespace)
-    assert namespace["RULES"] == RULES and len(Q.learn(labelled_blocks=900, lists=1)) > 3
+    assert namespace["RULES"] == RULES and len(rules) == 3
+    few = Q.learn(labelled_blocks=900, lists=2, kept=1)
+    assert len(few) == 1 and len(few[0]) > 3
+
+
+def test_the_vote_in_spark_is_that_of_the_lists(spark, rules):
+    x, _ = Q.table_of(labelled(400, 9))
+    frame = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(x)], ["k", *[f"f_{f}" for f in Q.FEATURES]])
+    frame = frame.withColumn("c", F.struct(*[F.col(f"f_{f}") for f in Q.FEATURES]))
+    for lists in (rules, rules[:1], rules[:2]):
+        got = frame.select("k", Q.voted_kind(lists, F.col("c")).alias("kind")).orderBy("k").collect()
+        assert [r.kind for r in got] == list(Q.apply_lists(lists, x))
 
 
 def test_kinds_by_their_share_of_characters(spark, rules):
