@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.sentences import Model, sentence_spans
 from millrace.plans.session import cut, ship
 
 #: Kinds of boundary, the more natural the higher.
@@ -28,17 +29,23 @@ _STRONG = re.compile(
 )
 _MARKS = "。！？｡．।॥։؟۔።፧….!?"
 _WORD = re.compile(r"\s+")
+_BLANKS = re.compile(r"\s*")
 
 
-def boundaries(text: str, limit: int, overlap: int) -> tuple[list[int], list[int]]:
+def boundaries(text: str, limit: int, overlap: int, sentence_ends: Sequence[int] | None = None) -> tuple[list[int], list[int]]:
     """Positions (after any white space) and kinds at which ``text`` may be cut, with 0 and its end.
 
+    Sentences end at ``sentence_ends`` if given, else at end marks.
+
     Words count only in gaps wider than the overlap. Within a stretch over ``limit`` characters that has
     neither white space nor a sentence end, forced boundaries stand ``limit - overlap`` apart.
     """
     size, kinds = len(text), {}
     for m in _STRONG.finditer(text):
-        kinds[m.end()] = max(kinds.get(m.end(), 0), PARAGRAPH if m.lastgroup == "par" else LINE if m.lastgroup == "line" else SENTENCE)
+        if sentence_ends is None or m.lastgroup != "end":
+            kinds[m.end()] = max(kinds.get(m.end(), 0), PARAGRAPH if m.lastgroup == "par" else LINE if m.lastgroup == "line" else SENTENCE)
+    for end in sentence_ends or ():
+        kinds.setdefault(_BLANKS.match(text, end).end(), SENTENCE)
     kinds.pop(0, None)
     kinds[size] = END
     before = 0
@@ -132,14 +139,14 @@ def _successors(nodes: DataFrame, limit: int, overlap: int) -> DataFrame:
     )
 
 
-def piece_spans(items: DataFrame, text: str, *, limit: int, overlap: int) -> DataFrame:
+def piece_spans(items: DataFrame, text: str, *, limit: int, overlap: int, model: Model | None = None) -> DataFrame:
     """(item, piece_no, start_pos, end_pos, cut_kind) for the texts of ``items`` (item, ``text``) over ``limit`` characters."""
     if not 0 <= 2 * overlap < limit:
         raise ValueError("overlap must be at least 0 and less than half the limit")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = [boundaries(t, limit, overlap) for t in batch["text"]]
+            both = [boundaries(t, limit, overlap, None if model is None else [e for _, e in sentence_spans(t, model)]) for t in batch["text"]]
             yield pd.DataFrame({"item": batch["item"], "size": [len(t) for t in batch["text"]], "at": [b[0] for b in both], "kinds": [b[1] for b in both]})
 
     ship(items.sparkSession)
@@ -177,11 +184,12 @@ def piece_spans(items: DataFrame, text: str, *, limit: int, overlap: int) -> Dat
 
 
 def split_oversized(
-    items: DataFrame, ids: Sequence[str], text: str, *, limit_tokens: int = 512, overlap_tokens: int = 64, chars_per_token: int = 4, texts: bool = True
+    items: DataFrame, ids: Sequence[str], text: str, *, limit_tokens: int = 512, overlap_tokens: int = 64, chars_per_token: int = 4, texts: bool = True, model: Model | None = None
 ) -> DataFrame:
     """``ids``..., piece_no, start_pos, end_pos, cut_kind and, if ``texts``, piece_text of every item over the limit.
 
     ``limit_tokens`` and ``overlap_tokens`` are estimates of ``chars_per_token`` characters each, rounded up.
+    With ``model`` sentences are the units of ``llm.sentences``, else what end marks end.
     ``cut_kind`` names what ends a piece: paragraph, line, sentence, word, forced or end. Pieces cover the
     text in order; neighbours share at most the overlap; no piece is over the limit.
 
@@ -193,7 +201,7 @@ def split_oversized(
     held = [f"__i{n}" for n in range(len(ids))]
     key = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(h).cast("string")), F.lit("n")) for h in held], F.col("__text")))
     keyed = items.select(*[F.col(i).alias(h) for i, h in zip(ids, held)], F.col(text).alias("__text")).filter(F.length("__text") > limit).withColumn("item", key)
-    spans = piece_spans(keyed.select("item", "__text"), "__text", limit=limit, overlap=overlap)
+    spans = piece_spans(keyed.select("item", "__text"), "__text", limit=limit, overlap=overlap, model=model)
     name = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])
     rows = (keyed if texts else keyed.drop("__text")).join(spans, "item")
     return rows.select(

@@ -9,7 +9,7 @@ from millrace.llm.mixing import sample_mix, source_key
 from millrace.llm.packing import fill_report, pack_all
 from millrace.llm.pieces import split_oversized
 from millrace.llm.quality import text_quality
-from millrace.llm.sentences import split_sentences
+from millrace.llm.sentences import split_sentences, train
 from millrace.llm.tokens import sized
 from millrace.plans.session import read_table
 
@@ -36,6 +36,11 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_items(spark, folder), ["source_table", "item_id"], "item_text")
 
 
+def p2_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces where sentences are the units of the boundary model."""
+    return split_oversized(_items(spark, folder), ["source_table", "item_id"], "item_text", model=train(), texts=False)
+
+
 def p2_invariants(spark: SparkSession, folder: str) -> DataFrame:
     """Per item over the limit: that its pieces are in order, cover its text, keep to the limit and share no more than the overlap."""
     pieces = p2_pieces(spark, folder).distinct()
@@ -150,6 +155,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_sentence_pieces": p2_sentence_pieces,
     "p2_invariants": p2_invariants,
     "p4_found": p4_found,
     "p4_sentences": p4_sentences,

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from millrace.llm.pieces import boundaries, piece_spans, split_oversized
+from millrace.llm.sentences import train
 
 SCHEMA = "src string, id string, body string, item string, piece_no int"
 LIMIT, OVERLAP = 200, 24
@@ -115,3 +116,16 @@ def test_cuts_of_mixed_kinds_reach_the_end(spark):
     spans = piece_spans(spark.createDataFrame([("a", text)], "item string, t string"), "t", limit=64, overlap=14).orderBy("piece_no").collect()
     assert len(spans) > 128 and spans[0].start_pos == 0 and spans[-1].end_pos == len(text)
     assert all(b.start_pos <= a.end_pos < b.end_pos for a, b in zip(spans, spans[1:]))
+
+
+def test_sentences_of_the_model(spark):
+    text = " ".join(f"Dr. Arden paid Mr. Foley {n} coins." for n in range(40))
+    rows = spark.createDataFrame([("a", text)], "id string, body string")
+
+    def ends(**kw):
+        pieces = split_oversized(rows, ["id"], "body", limit_tokens=20, overlap_tokens=4, **kw)
+        return [r.piece_text.strip()[-4:] for r in pieces.collect() if r.cut_kind == "sentence"]
+
+    assert any(e.endswith(("Dr.", "Mr.")) for e in ends())
+    told = ends(model=train())
+    assert told and all(e.endswith("ns.") for e in told)
